@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import decontaminate
+from sightline.llm import decontaminate, simhash
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_simhash": simhash.op2_simhash,
 }
 _SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.OP1_SQL,
