@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import decontaminate, mixture, simhash, substrings, urls
+from sightline.llm import chat, decontaminate, mixture, rules, simhash, substrings, urls
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_simhash": simhash.op2_simhash,
     "op4_url_filter": urls.op4_url_filter,
+    "op5_quality_rules": rules.op5_quality_rules,
+    "op6_chat_format": chat.op6_chat_format,
     "op8_substrings": substrings.op8_substrings,
     "op10_mixture": mixture.op10_mixture,
 }
 _SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.OP1_SQL,
+    "op6_chat_format": chat.OP6_SQL,
     "op8_substrings": substrings.OP8_SQL,
     "op10_mixture": mixture.OP10_SQL,
 }

@@ -7,6 +7,7 @@ expressions as the pages'; its weights are an array of DIMENSIONS numbers.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -81,7 +82,7 @@ def judge(pages: DataFrame, *, url_col: str = "url", keep: Sequence[str] = ("pag
     with an output's name comes out as in_<name>.
     """
     weights, bias = train(pages.sparkSession, dimensions)
-    held = F.lit(weights)
+    held = F.from_json(F.lit(json.dumps(weights)), "array<double>")
     parts = pages.select(*kept(pages, keep, MADE), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     found = F.lit(None).cast("string")
     blocks = F.lit(None).cast("boolean")
