@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import chat, decontaminate, mixture, rules, simhash, substrings, urls
+from sightline.llm import chat, decontaminate, mixture, quality, rules, simhash, substrings, urls
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -14,6 +14,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": urls.op4_url_filter,
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_substrings": substrings.op8_substrings,
     "op10_mixture": mixture.op10_mixture,
 }
