@@ -81,6 +81,7 @@ class Words:
         off = np.frombuffer(padded.buffers()[1], np.int64, n + 1, padded.offset * 8)
         raw = np.frombuffer(padded.buffers()[2] or b"", np.uint8)[off[0] : off[-1]] if n else np.zeros(0, np.uint8)
         self.buf = LOWER[raw] if lower else raw
+        self._sums: np.ndarray | None = None
         self.doc_off = off - off[0] if n else np.zeros(1, np.int64)
         inside = word[self.buf]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1 if len(inside) else np.zeros(0, np.int64)
@@ -101,13 +102,17 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, the same in every block."""
+        return self.range_hashes(self.starts, self.ends)
+
+    def range_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each byte range, equal for equal bytes."""
         n = len(self.buf)
-        if not len(self.starts):
+        if not len(starts):
             return np.zeros(0, np.uint64)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_SALT[self.buf] * _power("up", int(_ODD), n), dtype=np.uint64, out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * _power("down", _inverse(int(_ODD)), n)[self.starts]
-        return mix(h)
+        if self._sums is None:
+            self._sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_SALT[self.buf] * _power("up", int(_ODD), n), dtype=np.uint64, out=self._sums[1:])
+        return mix((self._sums[ends] - self._sums[starts]) * _power("down", _inverse(int(_ODD)), n)[starts])
 
     def text(self, i: int) -> bytes:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
