@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.llm import textbytes as tb
-from sightline.llm.frames import kept, table
+from sightline.llm.frames import table, with_text
 
 WINDOW = 13
 SAMPLE = 16
@@ -282,16 +282,15 @@ def find_contamination(
     item_ids: the items with occurring windows, ascending by place in the benchmark.
     A null or empty text has no words and no spans; a benchmark item without words
     has no window; an empty benchmark hits nothing; repeated rows each come out; a
-    kept column with the name of an output comes out as in_<name>. Long texts are
-    cut with an overlap of window - 1 words inside the index only by shard borders
-    that never fall inside a text.
+    kept column with the name of an output comes out as in_<name>. A text is never
+    cut: a shard ends between texts.
     """
     spark = docs.sparkSession
     parts = [spark.sparkContext.broadcast(p) for p in _parts(benchmark, item_col, item_text_col, window, part_bytes)]
     item_type = benchmark.schema[item_col].dataType
-    source = docs.select(*kept(docs, keep, MADE), F.col(text_col).alias("__text"))
+    source, at, own = with_text(docs, keep, MADE, text_col)
     schema = T.StructType(
-        [f for f in source.schema.fields if f.name != "__text"]
+        [source.schema[c] for c in own]
         + [
             T.StructField("n_words", T.LongType()),
             T.StructField("n_hit", T.LongType()),
@@ -310,20 +309,20 @@ def find_contamination(
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal shard, rows
             made = shard.results([p.value for p in parts])
-            at = 0
+            done = 0
             for r in rows:
                 n = r.num_rows
-                cols = [r.column(i) for i in range(r.num_columns)] + [pa.array(x[at : at + n], arrow.field(r.num_columns + j).type) for j, x in enumerate(made)]
+                cols = [r.column(i) for i in range(r.num_columns)] + [pa.array(x[done : done + n], arrow.field(r.num_columns + j).type) for j, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-                at += n
+                done += n
             shard, rows = _Shard(), []
 
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at)
             for a, b in tb.blocks(texts, BLOCK_BYTES):
                 w = tb.Words(texts.slice(a, b - a), tb.ALNUM, True)
                 shard.add(w.hashes(), w.counts())
-                rows.append(batch.slice(a, b - a).select(list(range(batch.num_columns - 1))))
+                rows.append(batch.slice(a, b - a).select(list(range(len(own)))))
                 if shard.words >= SHARD_WORDS:
                     yield from flush()
         if rows:

@@ -23,6 +23,15 @@ def kept(df: DataFrame, keep: Sequence[str], made: Sequence[str]) -> list[Column
     return [F.col(f"`{c}`").alias(f"in_{c}" if c.lower() in taken else c) for c in keep]
 
 
+def with_text(df: DataFrame, keep: Sequence[str], made: Sequence[str], text_col: str) -> tuple[DataFrame, int, list[str]]:
+    """The kept columns and the text, which is sent once: the frame, the text's place, the kept columns' new names."""
+    own = kept(df, keep, made)
+    names = df.select(*own).columns
+    if text_col in keep:
+        return df.select(*own), list(keep).index(text_col), names
+    return df.select(*own, F.col(f"`{text_col}`").alias("__text")), len(names), names
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

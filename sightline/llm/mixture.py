@@ -60,14 +60,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     names = [c.alias(f"k{i}") for i, c in enumerate(kept(docs, keep, ()))]
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = cut(docs.select(*names, F.col(source_col).alias("source"), key.alias("key"), size.alias("size")))
+    rows = docs.select(*names, F.col(source_col).alias("source"), key.alias("key"), size.alias("size"))
+    if text_col not in keep:  # narrow rows are counted once; texts are rather read again than written
+        rows = cut(rows)
     part = F.substring("key", 1, range_digits)
     sums = rows.groupBy("source", part.alias("part")).agg(F.sum("size").alias("part_size"))
     goal = targets(sums.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights=weights, epochs=epochs)
     ahead = F.coalesce(F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select("source", "part", ahead.alias("start"))
     bounds = starts.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select(F.col("s.source").alias("s2"), F.col("part").alias("p2"), "start", "source_size", "target")
-    inside = F.sum("size").over(Window.partitionBy("source", "part").orderBy("key", "size", "k0").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    inside = F.sum("size").over(Window.partitionBy("source", "part").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = rows.withColumn("part", part).withColumn("inside", inside)
     all_cols = placed.join(bounds, placed["source"].eqNullSafe(bounds["s2"]) & (placed["part"] == bounds["p2"]))
     budget = F.floor("target")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.llm import textbytes as tb
-from sightline.llm.frames import kept, table
+from sightline.llm.frames import table, with_text
 from sightline.llm.sample import fold, labelled
 
 #: The sample that the model is fitted on.
@@ -153,15 +153,15 @@ def score_quality(docs: DataFrame, model: Ranking | None, *, text_col: str = "te
     with an output's name comes out as in_<name>.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*kept(docs, keep, MADE), F.col(text_col).alias("__text"))
-    schema = T.StructType([f for f in source.schema.fields if f.name != "__text"] + [T.StructField("score", T.DoubleType())])
+    source, at, own = with_text(docs, keep, MADE, text_col)
+    schema = T.StructType([source.schema[c] for c in own] + [T.StructField("score", T.DoubleType())])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at)
             parts = [held.value.score(features(texts.slice(a, b - a))) if held.value else np.full(b - a, THRESHOLD) for a, b in tb.blocks(texts, BLOCK_BYTES)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=names)
 
     return source.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 

@@ -8,9 +8,11 @@ so consecutive windows that share an anchor make one run and one count.
    sends it, sparse, to the stripes' owners, which merge it to one bit a cell:
    hit twice or more. An estimate is never below the true count.
 2. A second pass over the texts keeps only runs whose anchor is estimated
-   repeated and groups those exactly: first whole runs with their context; where
-   contexts of an anchor differ, window by window over distinct contexts.
-3. The repeated windows' places go back to their texts.
+   repeated and groups those exactly by their whole context: a context found
+   twice makes all its windows repeated.
+3. Where contexts of an anchor differ and one stands alone, a third pass brings
+   these contexts' windows, which are grouped one by one over distinct contexts.
+4. The repeated windows' places go back to their texts.
 
 The merged sketch is broadcast. Its size follows the corpus up to 2**MOST_BITS
 cells a row (64 MB a row); beyond, more unrepeated runs pass the filter, which
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.llm import textbytes as tb
-from sightline.llm.frames import ensure_checkpoint_dir, kept, table
+from sightline.llm.frames import ensure_checkpoint_dir, table, with_text
 
 WINDOW = 35
 GRAM = 8
@@ -104,44 +106,32 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.T).view("<u4").ravel(), dtype=np.int64)
 
 
-def merged_sketch(docs: DataFrame, text_col: str, bits: int, window: int, gram: int) -> np.ndarray:
-    """ROWS x 2**bits bits, packed: the cells that all partitions' sketches together hit twice or more."""
+def _stripes(bits: int) -> tuple[int, int]:
+    """Bits within a stripe, stripes a row."""
     stripe_bits = min(max(STRIPE_BITS, bits - 5), bits)
-    per_row = 1 << (bits - stripe_bits)
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: list[np.ndarray] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            all_grams = np.concatenate(grams)
-            for row in range(ROWS):
-                cell = np.sort(_cells(all_grams, row, bits))
-                first = np.ones(len(cell), bool)
-                first[1:] = cell[1:] != cell[:-1]
-                at = np.flatnonzero(first)
-                twice = np.diff(np.append(at, len(cell))) > 1
-                cell = cell[at].astype(np.int64)
-                cut = np.searchsorted(cell >> stripe_bits, np.arange(per_row + 1))
-                stripes, blobs = [], []
-                for s in range(per_row):
-                    a, b = cut[s], cut[s + 1]
-                    if a < b:
-                        stripes.append(row * per_row + s)
-                        blobs.append(_pack(((cell[a:b] & ((1 << stripe_bits) - 1)) << 1) | twice[a:b]))
-                if stripes:
-                    yield pa.RecordBatch.from_arrays([pa.array(stripes, pa.int32()), pa.array(blobs, pa.binary())], names=["stripe", "cells"])
-
-        size = 0
-        for batch in batches:
-            for a, b in tb.blocks(batch.column(0), BLOCK_BYTES):
-                r = Runs(tb.Words(batch.column(0).slice(a, b - a), tb.NOT_SPACE, False), window, gram)
-                grams.append(r.gram)
-                size += len(r.gram)
-                if size >= FLUSH_RUNS:
-                    yield from flush()
-                    grams, size = [], 0
-        if size:
-            yield from flush()
+    return stripe_bits, 1 << (bits - stripe_bits)
+
+
+def _sparse(grams: np.ndarray, bits: int, all_twice: bool) -> Iterator[pa.RecordBatch]:
+    """The sketch of some anchors, a row for each stripe they touch: ascending cells, each with a bit for twice."""
+    stripe_bits, per_row = _stripes(bits)
+    for row in range(ROWS):
+        cell = np.sort(_cells(grams, row, bits))
+        first = np.ones(len(cell), bool)
+        first[1:] = cell[1:] != cell[:-1]
+        at = np.flatnonzero(first)
+        twice = (np.diff(np.append(at, len(cell))) > 1) | all_twice
+        cell = cell[at].astype(np.int64)
+        cut = np.searchsorted(cell >> stripe_bits, np.arange(per_row + 1))
+        stripes = [s for s in range(per_row) if cut[s] < cut[s + 1]]
+        blobs = [_pack(((cell[cut[s] : cut[s + 1]] & ((1 << stripe_bits) - 1)) << 1) | twice[cut[s] : cut[s + 1]]) for s in stripes]
+        if stripes:
+            yield pa.RecordBatch.from_arrays([pa.array([row * per_row + s for s in stripes], pa.int32()), pa.array(blobs, pa.binary())], names=["stripe", "cells"])
+
+
+def _merged(parts: DataFrame, bits: int) -> np.ndarray:
+    """ROWS x 2**bits bits, packed: the cells that all the sketches together hit twice or more."""
+    stripe_bits, _ = _stripes(bits)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once: dict[int, np.ndarray] = {}
@@ -157,7 +147,6 @@ def merged_sketch(docs: DataFrame, text_col: str, bits: int, window: int, gram:
         for s, bitmap in twice.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(bitmap, bitorder="little").tobytes()], pa.binary())], names=["stripe", "bits"])
 
-    parts = docs.select(F.col(text_col).alias("t")).mapInArrow(local, "stripe int, cells binary")
     merged = parts.repartition(F.col("stripe")).mapInArrow(merge, "stripe int, bits binary")
     out = np.zeros(ROWS << (bits - 3), np.uint8)
     step = 1 << (stripe_bits - 3)
@@ -166,47 +155,94 @@ def merged_sketch(docs: DataFrame, text_col: str, bits: int, window: int, gram:
     return out
 
 
+def _holds(sketch: np.ndarray, bits: int, gram: np.ndarray) -> np.ndarray:
+    maybe = np.ones(len(gram), bool)
+    for row in range(ROWS):
+        cell = _cells(gram, row, bits).astype(np.int64) + (row << bits)
+        maybe &= (sketch[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
+    return maybe
+
+
+def corpus_sketch(docs: DataFrame, text_col: str, bits: int, window: int, gram: int) -> np.ndarray:
+    """The merged sketch of all runs' anchors."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for a, b in tb.blocks(batch.column(0), BLOCK_BYTES):
+                r = Runs(tb.Words(batch.column(0).slice(a, b - a), tb.NOT_SPACE, False), window, gram)
+                grams.append(r.gram)
+                size += len(r.gram)
+                if size >= FLUSH_RUNS:
+                    yield from _sparse(np.concatenate(grams), bits, False)
+                    grams, size = [], 0
+        if size:
+            yield from _sparse(np.concatenate(grams), bits, False)
+
+    return _merged(docs.select(F.col(text_col).alias("t")).mapInArrow(local, "stripe int, cells binary"), bits)
+
+
+def set_sketch(anchors: DataFrame, bits: int) -> np.ndarray:
+    """A sketch that holds every anchor of the column g."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _sparse(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits, True)
+
+    return _merged(anchors.select("g").mapInArrow(local, "stripe int, cells binary"), bits)
+
+
+def _context(r: Runs, hs: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """A hash of all the words of runs i: their first and last windows overlap."""
+    first, n = r.first[i], r.size[i]
+    return tb.mix(hs[first] * np.uint64(0xA24BAED4963EE407) + hs[first + n - 1] * np.uint64(0x9FB21C651E98DF25) + (n * 64 + r.offset[i]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def _estimated(docs: DataFrame, id_col: str, text_col: str, bits: int, sketch: np.ndarray, window: int, gram: int) -> DataFrame:
     """The runs whose anchor is estimated repeated, one row each."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("t"))
-    schema = T.StructType(
-        [T.StructField("id", docs.schema[id_col].dataType)]
-        + [T.StructField(n, T.LongType()) for n in ("th", "g", "c")]
-        + [T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("hs", T.ArrayType(T.LongType()))]
-    )
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)] + [T.StructField(n, T.LongType()) for n in ("th", "g", "c")] + [T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = held.value
         for batch in batches:
             texts = batch.column(2)
             for a, b in tb.blocks(texts, BLOCK_BYTES):
                 w = tb.Words(texts.slice(a, b - a), tb.NOT_SPACE, False)
                 r = Runs(w, window, gram)
-                if not len(r.gram):
+                i = np.flatnonzero(_holds(held.value, bits, r.gram))
+                if not len(i):
                     continue
-                maybe = np.ones(len(r.gram), bool)
-                for row in range(ROWS):
-                    cell = _cells(r.gram, row, bits).astype(np.int64) + (row << bits)
-                    maybe &= (s[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
-                i = np.flatnonzero(maybe)
+                c = _context(r, r.window_hashes(), i)
+                row = pa.array(r.doc[i] + a)
+                made = [pa.array(r.gram[i].view(np.int64)), pa.array(c.view(np.int64)), pa.array((r.first[i] - w.word_off[r.doc[i]]).astype(np.int32)), pa.array(r.size[i].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *made], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def _contexts(docs: DataFrame, text_col: str, bits: int, sketch: np.ndarray, window: int, gram: int) -> DataFrame:
+    """(g, c, hs): of the runs whose anchor the sketch holds, the windows' hashes; a context comes once a block at most."""
+    held = docs.sparkSession.sparkContext.broadcast(sketch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in tb.blocks(batch.column(0), BLOCK_BYTES):
+                r = Runs(tb.Words(batch.column(0).slice(a, b - a), tb.NOT_SPACE, False), window, gram)
+                i = np.flatnonzero(_holds(held.value, bits, r.gram))
                 if not len(i):
                     continue
                 hs = r.window_hashes()
-                first, n, doc = r.first[i], r.size[i], r.doc[i]
-                c = tb.mix(hs[first] * np.uint64(0xA24BAED4963EE407) + hs[first + n - 1] * np.uint64(0x9FB21C651E98DF25) + (n * 64 + r.offset[i]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-                flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+                c = _context(r, hs, i)
+                _, one = np.unique(c ^ r.gram[i], return_index=True)
+                i, c = i[one], c[one]
+                n = r.size[i]
+                flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - r.first[i], n)
                 off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                row = pa.array(doc + a)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(row), batch.column(1).take(row), pa.array(r.gram[i].view(np.int64)), pa.array(c.view(np.int64)),
-                        pa.array((first - w.word_off[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(off), pa.array(hs[flat].view(np.int64))),
-                    ],
-                    names=[f.name for f in schema.fields],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(r.gram[i].view(np.int64)), pa.array(c.view(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(hs[flat].view(np.int64)))], names=["g", "c", "hs"])
 
-    return source.mapInArrow(run, schema)
+    return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "g long, c long, hs array<long>")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -224,12 +260,13 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         raise ValueError("gram must be in 1..window and window - gram at most 61")
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     bits = min(max(int(3 * size / 70).bit_length(), LEAST_BITS), MOST_BITS)
-    sketch = merged_sketch(docs, text_col, bits, window, gram)
+    sketch = corpus_sketch(docs, text_col, bits, window, gram)
     runs = written(_estimated(docs, id_col, text_col, bits, sketch, window, gram), "runs")
     contexts = runs.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n_c"))
     mixed = contexts.groupBy("g").agg(F.count(F.lit(1)).alias("n_ctx"), F.min("n_c").alias("fewest")).where("n_ctx > 1 and fewest = 1").select("g")
-    # windows of the distinct contexts of anchors that have several
-    distinct = runs.join(mixed, "g").groupBy("g", "c").agg(F.count(F.lit(1)).alias("n_c"), F.any_value("hs").alias("hs"))
+    # a third pass: the windows of the contexts of anchors that have several
+    several = _contexts(docs, text_col, bits, set_sketch(mixed, bits), window, gram)
+    distinct = several.groupBy("g", "c").agg(F.any_value("hs").alias("hs")).join(contexts, ["g", "c"])
     each = distinct.select("g", "c", "n_c", F.posexplode("hs").alias("j", "h"))
     often = each.groupBy("g", "h").agg(F.sum("n_c").alias("n")).where("n > 1").select("g", "h")
     masks = each.where("n_c = 1").join(often, ["g", "h"]).groupBy("g", "c").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
@@ -250,19 +287,22 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comes out as in_<name>.
     """
     marks = repeated_windows(docs, id_col=id_col, text_col=text_col, window=window, gram=gram)
-    own = docs.select(*kept(docs, keep, MADE), F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__th"), F.col(text_col).alias("__text"))
+    sent, at_text, carried = with_text(docs.withColumn("__id", F.col(id_col)), [*keep, "__id"], MADE, text_col)
+    carried = carried[:-1]
+    own = sent.withColumn("__th", F.xxhash64(F.coalesce(F.col(sent.columns[at_text]), F.lit(""))))
     both = own.join(marks, own["__id"].eqNullSafe(marks["id"]) & (own["__th"] == marks["th"]), "left")
-    carried = own.columns[:-3]
-    source = both.select(*carried, "__text", F.transform("marks", lambda m: m["first"]).alias("__first"), F.transform("marks", lambda m: m["mask"]).alias("__mask"))
+    texts = [] if text_col in keep else ["__text"]
+    at_text, at_marks = (at_text if text_col in keep else len(carried)), len(carried) + len(texts)
+    source = both.select(*carried, *texts, F.transform("marks", lambda m: m["first"]).alias("__first"), F.transform("marks", lambda m: m["mask"]).alias("__mask"))
     schema = T.StructType([source.schema[c] for c in carried] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in tb.blocks(batch.column(len(carried)), BLOCK_BYTES):
+            for a, b in tb.blocks(batch.column(at_text), BLOCK_BYTES):
                 part = batch.slice(a, b - a)
-                w = tb.Words(part.column(len(carried)), tb.NOT_SPACE, False)
-                firsts, masks = part.column(len(carried) + 1), part.column(len(carried) + 2)
+                w = tb.Words(part.column(at_text), tb.NOT_SPACE, False)
+                firsts, masks = part.column(at_marks), part.column(at_marks + 1)
                 per = np.diff(np.append(0, np.cumsum([len(x) if x is not None else 0 for x in firsts.to_pylist()]))) if firsts.null_count < len(firsts) else np.zeros(len(firsts), np.int64)
                 first = firsts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 mask = masks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)

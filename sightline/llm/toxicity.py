@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.llm import textbytes as tb
-from sightline.llm.frames import kept, table
+from sightline.llm.frames import table, with_text
 from sightline.llm.sample import fold, labelled
 
 #: The sample that the model is fitted on: rows of each label and bytes of text.
@@ -282,18 +282,18 @@ def score_toxicity(docs: DataFrame, model: Field | None, *, text_col: str = "tex
     in_<name>.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*kept(docs, keep, MADE), F.col(text_col).alias("__text"))
+    source, at, own = with_text(docs, keep, MADE, text_col)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())])
-    schema = T.StructType([f for f in source.schema.fields if f.name != "__text"] + [T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
+    schema = T.StructType([source.schema[c] for c in own] + [T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
         model = held.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at)
             for a, b in tb.blocks(texts, BLOCK_BYTES):
-                part = batch.slice(a, b - a).columns[:-1]
+                part = batch.slice(a, b - a).columns[: len(own)]
                 found: list[list] = [[] for _ in range(b - a)]
                 score = np.zeros(b - a)
                 if model:
