@@ -20,7 +20,7 @@ DIMENSIONS = 1 << 14
 GRAMS = (3, 4)
 MADE = ("host", "path", "rule", "verdict", "score")
 #: Fixed values: (host, path, blocks).
-RULES = (("com", "/en/", True), ("example.com", "/en/7", False), ("net", "/de/", True), ("example.net", "/de/8", True), ("org", "/es/", True))
+RULES = (("com", "/en/", True), ("example.com", "/en/7", False), ("net", "/de/", False), ("example.net", "/de/8", True), ("org", "/es/", True))
 #: The labelled URLs: words of hosts and paths that mark unwanted pages, and ones that don't.
 UNWANTED = ("cheap-pills", "spam-farm", "casino-win", "free-bets", "ads-track", "adult-cams", "hot-singles", "payday-loan", "replica-watch", "crypto-doubler", "click-bait", "link-farm", "warez-crack", "lottery-prize", "viagra-shop", "poker-bonus")
 WANTED = ("library", "weather", "garden-club", "city-news", "open-source", "physics", "museum", "kitchen", "travel-notes", "history", "therin", "ththan", "tionble", "thering", "ththre", "thernd", "school", "music", "bookshop", "archive", "forum", "recipes", "science", "health", "theatre", "ththst", "tiontion", "therre")
