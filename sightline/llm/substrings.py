@@ -203,7 +203,7 @@ def _estimated(docs: DataFrame, id_col: str, text_col: str, bits: int, sketch: n
     """The runs whose anchor is estimated repeated, one row each."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("t"))
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)] + [T.StructField(n, T.LongType()) for n in ("th", "g", "c")] + [T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)] + [T.StructField(n, T.LongType()) for n in ("th", "g", "c")] + [T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("times", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,8 +215,14 @@ def _estimated(docs: DataFrame, id_col: str, text_col: str, bits: int, sketch: n
                 if not len(i):
                     continue
                 c = _context(r, r.window_hashes(), i)
+                # a word said over and over makes run after run of one context: one row for all
+                new = np.ones(len(i), bool)
+                new[1:] = (c[1:] != c[:-1]) | (r.gram[i[1:]] != r.gram[i[:-1]]) | (r.first[i[1:]] != r.first[i[:-1]] + r.size[i[:-1]]) | (r.doc[i[1:]] != r.doc[i[:-1]])
+                lead = np.flatnonzero(new)
+                times = np.diff(np.append(lead, len(i)))
+                i, c = i[lead], c[lead]
                 row = pa.array(r.doc[i] + a)
-                made = [pa.array(r.gram[i].view(np.int64)), pa.array(c.view(np.int64)), pa.array((r.first[i] - w.word_off[r.doc[i]]).astype(np.int32)), pa.array(r.size[i].astype(np.int32))]
+                made = [pa.array(r.gram[i].view(np.int64)), pa.array(c.view(np.int64)), pa.array((r.first[i] - w.word_off[r.doc[i]]).astype(np.int32)), pa.array(r.size[i].astype(np.int32)), pa.array(times.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *made], names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -255,14 +261,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, th, marks): for each text with repeated windows, structs (first, mask) of which mask's bit j says that the window at word first + j is repeated."""
+    """(id, th, marks): for each text with repeated windows, structs (first, n, mask).
+
+    Bit j of mask says that the window at word first + j is repeated; -1: that all
+    n windows from first on are.
+    """
     if not 1 <= gram <= window or window - gram + 1 > 62:
         raise ValueError("gram must be in 1..window and window - gram at most 61")
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     bits = min(max(int(3 * size / 70).bit_length(), LEAST_BITS), MOST_BITS)
     sketch = corpus_sketch(docs, text_col, bits, window, gram)
     runs = written(_estimated(docs, id_col, text_col, bits, sketch, window, gram), "runs")
-    contexts = runs.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n_c"))
+    contexts = runs.groupBy("g", "c").agg(F.sum("times").alias("n_c"))
     mixed = contexts.groupBy("g").agg(F.count(F.lit(1)).alias("n_ctx"), F.min("n_c").alias("fewest")).where("n_ctx > 1 and fewest = 1").select("g")
     # a third pass: the windows of the contexts of anchors that have several
     several = _contexts(docs, text_col, bits, set_sketch(mixed, bits), window, gram)
@@ -271,9 +281,8 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     often = each.groupBy("g", "h").agg(F.sum("n_c").alias("n")).where("n > 1").select("g", "h")
     masks = each.where("n_c = 1").join(often, ["g", "h"]).groupBy("g", "c").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
     whole = contexts.where("n_c > 1").select("g", "c", F.lit(-1).cast("long").alias("mask"))
-    decided = runs.select("id", "th", "g", "c", "first", "n").join(whole.unionByName(masks), ["g", "c"])
-    mask = F.when(F.col("mask") == -1, F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("mask"))
-    return decided.groupBy("id", "th").agg(F.collect_set(F.struct("first", mask.alias("mask"))).alias("marks"))
+    decided = runs.join(whole.unionByName(masks), ["g", "c"])
+    return decided.groupBy("id", "th").agg(F.collect_set(F.struct("first", (F.col("n") * F.col("times")).alias("n"), "mask")).alias("marks"))
 
 
 def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ("doc_id",), window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -293,7 +302,7 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     both = own.join(marks, own["__id"].eqNullSafe(marks["id"]) & (own["__th"] == marks["th"]), "left")
     texts = [] if text_col in keep else ["__text"]
     at_text, at_marks = (at_text if text_col in keep else len(carried)), len(carried) + len(texts)
-    source = both.select(*carried, *texts, F.transform("marks", lambda m: m["first"]).alias("__first"), F.transform("marks", lambda m: m["mask"]).alias("__mask"))
+    source = both.select(*carried, *texts, F.transform("marks", lambda m: m["first"]).alias("__first"), F.transform("marks", lambda m: m["mask"]).alias("__mask"), F.transform("marks", lambda m: m["n"]).alias("__n"))
     schema = T.StructType([source.schema[c] for c in carried] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     names = schema.names
 
@@ -307,7 +316,12 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 first = firsts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 mask = masks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 base = np.repeat(w.word_off[:-1], per) + first
+                n = part.column(at_marks + 2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 cover = np.zeros(len(w) + 1, np.int64)
+                every = mask == -1
+                np.add.at(cover, base[every], 1)
+                np.add.at(cover, base[every] + n[every] - 1 + window, -1)
+                base, mask = base[~every], mask[~every]
                 for j in range(window - gram + 1):
                     at = base[(mask >> j) & 1 > 0] + j
                     np.add.at(cover, at, 1)
