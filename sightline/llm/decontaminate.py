@@ -115,7 +115,7 @@ class FMIndex:
         """Row ranges of right-aligned patterns of symbols from 1 on."""
         lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         live = np.arange(len(patterns))
-        top = len(self.first) - 2
+        top = (1 << self.levels) - 1
         for j in range(patterns.shape[1]):
             live = live[(sizes[live] > j) & (lo[live] < hi[live])]
             if not len(live):
