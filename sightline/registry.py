@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.plans import coverage_queries, graph_queries, path_queries, space_queries, table_queries
+from sightline.plans import coverage_queries, graph_queries, mesh_queries, path_queries, space_queries, table_queries
 
-_MODULES = (coverage_queries, space_queries, path_queries, graph_queries, table_queries)
+_MODULES = (coverage_queries, space_queries, path_queries, graph_queries, table_queries, mesh_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
