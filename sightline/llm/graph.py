@@ -1,45 +1,5 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table; the library's own."""
 
-from __future__ import annotations
+from sightline.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from sightline.llm.frames import cut
-
-
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
-    return tuple(r)
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of edges (u, v), root being its component's least node.
-
-    Each round rewires every edge towards the least neighbour seen, so the number
-    of edges never grows and the rounds grow with the logarithm of the longest
-    chain. Least neighbours are aggregates joined back, never gathered lists, so
-    a node with a great many edges is split like any skewed join. Rounds are cut
-    by a checkpoint in the shared folder. No edges: no rows. Loops and repeated
-    edges change nothing.
-    """
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = cut(e)
-    mark = _mark(e)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.greatest("v", "m").alias("a"), F.col("m"), "u")
-        e = small.select(F.col("a").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = cut(e)
-        now = _mark(e)
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+__all__ = ["components"]
