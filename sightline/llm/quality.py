@@ -24,7 +24,7 @@ from sightline.llm.frames import table, with_text
 from sightline.llm.sample import fold, labelled
 
 #: The sample that the model is fitted on.
-MOST_ROWS, MOST_BYTES, PAIRS = 6000, 24 << 20, 24_000
+MOST_ROWS, MOST_BYTES, PAIRS = 4000, 6 << 20, 8_000
 BINS = 8
 THRESHOLD = 0.7
 BLOCK_BYTES = 2 << 20
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if len(set(y)) < 2:
         return None
     t = pa.array(texts)
-    return Ranking(np.concatenate([features(t.slice(a, b - a)) for a, b in tb.blocks(t, BLOCK_BYTES)]), np.array(y))
+    return Ranking(np.concatenate([features(t.slice(a, b - a)) for a, b in tb.blocks(t, BLOCK_BYTES // 4)]), np.array(y))
 
 
 def score_quality(docs: DataFrame, model: Ranking | None, *, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
