@@ -71,6 +71,13 @@ def components_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.join(ranked, "root").select("node", "root", "size", "component")
 
 
+def reachable_set(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node) of what the seeds (node) reach in an undirected graph: their whole components, in few rounds."""
+    c = components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    roots = c.join(seeds.select("node"), "node", "left_semi").select("root").distinct()
+    return c.join(roots, "root", "left_semi").select("node").unionByName(seeds.select("node")).distinct()
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(node, hops) of what the seeds (node) reach; a seed outside the graph reaches itself."""
     seen = cut(seeds.select("node").distinct().withColumn("hops", F.lit(0)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightline.operators import graph as G
 from sightline.operators import select as H
 from sightline.plans.coverage_queries import EDGES, OBS, obs, supplier_edges, t
+from sightline.session import cut
 
 FOUR = ((1, 0), (0, 1))
 
@@ -29,6 +30,14 @@ def edges4(s, d) -> DataFrame:
 E4 = f"(select a.id as src, b.id as dst, sqrt(1 + (a.z - b.z) * (a.z - b.z)) as cost from {CELLS} a join {CELLS} b on abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1 and abs(a.z - b.z) <= 0.36 + 1e-9)"
 
 
+def wide(s, d) -> DataFrame:
+    """All ten offsets, so that routes take few steps."""
+    return cut(G.grid_edges(cells(s, d), max_rise=0.36))
+
+
+WIDE = f"(select a.id as src, b.id as dst from {CELLS} a join {CELLS} b on abs(a.ix - b.ix) <= 2 and abs(a.iy - b.iy) <= 2 and a.id <> b.id and abs(a.z - b.z) <= 0.36 + 1e-9 and (a.ix - b.ix) ** 2 + (a.iy - b.iy) ** 2 <= 2.3 * 2.3 + 1e-9)"
+
+
 def seeds(s, d) -> DataFrame:
     return G.components_of(cells(s, d), edges4(s, d)).where("component = 1").select(F.col("root").alias("node")).distinct()
 
@@ -69,7 +78,7 @@ def repaired(s, d):
 
 
 def far_route(s, d):
-    f = G.shortest(edges4(s, d), seeds(s, d))
+    f = G.shortest(wide(s, d), seeds(s, d))
     end = f.agg(F.max(F.struct(F.round("distance", 6).alias("q"), "node")).alias("m")).first().m.node
     return s.createDataFrame(list(enumerate(G.route(f, end))), "place int, node long")
 
@@ -81,18 +90,18 @@ QUERIES = {
     "g2_component_order": lambda s, d: G.components_of(cells(s, d), edges4(s, d)).select("component", "root", "size").distinct(),
     "g4_candidate_components": lambda s, d: G.components(supplier_edges(s, d).where("ratio >= 0.02").select(F.col("a").alias("u"), F.col("b").alias("v"))),
     "g5_cluster_minima": lambda s, d: G.cluster_minima(cells(s, d), edges4(s, d), ["size"]),
-    "g6_reachable": lambda s, d: G.reachable(edges4(s, d), seeds(s, d)).select("node"),
-    "g7_reachable_union": lambda s, d: G.reachable(edges4(s, d), cells(s, d).where("id % 400 = 7").select(F.col("id").alias("node"))),
+    "g6_reachable": lambda s, d: G.reachable_set(edges4(s, d), seeds(s, d)),
+    "g7_reachable_union": lambda s, d: G.reachable(wide(s, d), cells(s, d).where("id % 400 = 7").select(F.col("id").alias("node"))),
     "g8_induced_subgraph": lambda s, d: G.restrict(edges4(s, d), cells(s, d).where("size > 25")).select("src", "dst"),
     "g9_boundary_distance": lambda s, d: G.boundary_distance(cells(s, d), edges4(s, d), 4).select("node", F.round("distance", 6).alias("distance")),
-    "g11_shortest": lambda s, d: G.shortest(edges4(s, d), seeds(s, d)).select("node", F.round("distance", 6).alias("distance")),
+    "g11_shortest": lambda s, d: G.shortest(wide(s, d), seeds(s, d)).select("node", F.round("distance", 6).alias("distance")),
     "g12_route": far_route,
-    "g13_diameter": lambda s, d: s.createDataFrame([(round(G.diameter(edges4(s, d), seeds(s, d).first()[0])[2], 6),)], "length double"),
+    "g13_diameter": lambda s, d: s.createDataFrame([(round(G.diameter(wide(s, d), seeds(s, d).first()[0])[2], 6),)], "length double"),
     "g14_weighted_graph": lambda s, d: G.weighted(edges4(s, d), cells(s, d), "size", 50.0).withColumn("cost", F.round("cost", 9)),
     "g15_flat_graph": lambda s, d: G.flat_edges(edges4(s, d), cells(s, d), 0.1).select("src", "dst"),
     "g16_floor_regions": flat_regions,
     "g18_interface_counts": labelled,
-    "g18_label_growth": lambda s, d: G.grow_labels(edges4(s, d), cells(s, d).where("id % 300 = 11").select(F.col("id").alias("node"), F.col("id").alias("label"))),
+    "g18_label_growth": lambda s, d: G.grow_labels(wide(s, d), cells(s, d).where("id % 300 = 11").select(F.col("id").alias("node"), F.col("id").alias("label"))),
     "g23_uncovered_regions": uncovered,
     "c9_local_structure": lambda s, d: G.local_structure(cells(s, d), edges4(s, d), F.col("size").cast("double")),
     "h1_marginal_gain": gains,
@@ -117,7 +126,7 @@ SQL = {
     "g4_candidate_components": "select * from " + COMP.format(e=f"(select a as src, b as dst from {EDGES} where ratio >= 0.02 union all select b, a from {EDGES} where ratio >= 0.02)", c=f"(select a as id from {EDGES} where ratio >= 0.02 union select b from {EDGES} where ratio >= 0.02)"),
     "g5_cluster_minima": f"select root, arg_min(id, (size, id)) as id from {COMP4} c join {CELLS} k on k.id = c.node group by 1",
     "g6_reachable": f"select node from {REACH}",
-    "g7_reachable_union": f"with recursive e as materialized (select src, dst from {E4}), r(node, hops) as (select id, 0 from {CELLS} where id % 400 = 7 union select e.dst, hops + 1 from r join e on e.src = r.node where hops < 120) select node, min(hops) as hops from r group by 1",
+    "g7_reachable_union": f"with recursive e as materialized (select src, dst from {WIDE}), r(node, hops) as (select id, 0 from {CELLS} where id % 400 = 7 union select e.dst, hops + 1 from r join e on e.src = r.node where hops < 60) select node, min(hops) as hops from r group by 1",
     "g8_induced_subgraph": f"select src, dst from {E4} where src in (select id from {CELLS} where size > 25) and dst in (select id from {CELLS} where size > 25)",
     "g14_weighted_graph": f"select src, dst, round(cost * (1 + 1.5 * greatest(0, 1 - size / 50.0::double)), 9) as cost from {E4} join {CELLS} k on k.id = dst",
     "g15_flat_graph": f"select src, dst from {FLAT}",
