@@ -72,11 +72,11 @@ def nearest_hit(rays: DataFrame, triangles: DataFrame, *, cell: float, reach: fl
     for i, name in enumerate(("gx", "gy", "gz")):
         t = t.withColumn(name, F.explode(F.sequence(lo[i], hi[i])))
     steps = F.sequence(F.lit(0), F.lit(int(reach / (cell / 2)) + 1))
-    r = rays.withColumn("s", F.explode(steps)).withColumn("at", V.add(F.col("o"), V.mul(V.normalize(F.col("d")), F.col("s") * (cell / 2))))
-    c = cells(F.col("at"))
-    r = r.select("ray", "o", "d", *[x.alias(n) for x, n in zip(c, ("gx", "gy", "gz"), strict=True)]).withColumn("w", F.explode(_around("xyz")))
-    r = r.select("ray", "o", "d", *[(F.col(n) + F.col(f"w.o{i}")).alias(n) for i, n in enumerate(("gx", "gy", "gz"))]).distinct()
-    hit = r.join(t, ["gx", "gy", "gz"]).withColumn("t", V.ray_triangle(F.col("o"), V.normalize(F.col("d")), F.col("a"), F.col("b"), F.col("c"))).where(F.col("t") <= reach)
+    at = lambda s: V.add(F.col("o"), V.mul(V.normalize(F.col("d")), s * (cell / 2)))
+    passed = F.array_distinct(F.transform(steps, lambda s: F.struct(*[c.alias(n) for c, n in zip(cells(at(s)), ("gx", "gy", "gz"), strict=True)])))
+    near = lambda g: F.transform(_around("xyz"), lambda w: F.struct(*[(g[n] + w[f"o{i}"]).alias(n) for i, n in enumerate(("gx", "gy", "gz"))]))
+    r = rays.select("ray", "o", "d", F.explode(F.array_distinct(F.flatten(F.transform(passed, near)))).alias("g")).select("ray", "o", "d", "g.*")
+    hit = r.join(t.hint("merge"), ["gx", "gy", "gz"]).withColumn("t", V.ray_triangle(F.col("o"), V.normalize(F.col("d")), F.col("a"), F.col("b"), F.col("c"))).where(F.col("t") <= reach)
     return hit.groupBy("ray").agg(F.min(F.struct("t", "tri", "owner")).alias("m")).select("ray", "m.tri", "m.owner", "m.t")
 
 

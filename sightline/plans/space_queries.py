@@ -82,12 +82,12 @@ def boxes(s):
 
 
 def d1(s, d):
-    rays = points(s, d).where("y < 1.9").select(F.col("id").alias("ray"), V.vec(F.col("x") + 0.01, F.lit(0.0), F.col("z") + 0.003).alias("o"), V.vec(0.0, 1.0, 0.0).alias("d"))
+    rays = points(s, d).select(F.col("id").alias("ray"), V.vec(F.col("x") + 0.01, F.lit(0.0), F.col("z") + 0.003).alias("o"), V.vec(0.0, 1.0, 0.0).alias("d"))
     return S.nearest_hit(rays, boxes(s), cell=1.0, reach=8.0).select("ray", "owner", F.round("t", 6).alias("t"))
 
 
 def c17(s, d):
-    seg = points(s, d).where("y < 1.9").select(F.col("id").alias("ray"), V.vec(F.col("x") + 0.01, F.lit(0.0), F.col("z") + 0.003).alias("o"), V.vec(F.col("x") + 0.01, F.lit(5.0), F.col("z") + 0.003).alias("target"))
+    seg = points(s, d).select(F.col("id").alias("ray"), V.vec(F.col("x") + 0.01, F.lit(0.0), F.col("z") + 0.003).alias("o"), V.vec(F.col("x") + 0.01, F.lit(5.0), F.col("z") + 0.003).alias("target"))
     return S.visible(seg, boxes(s), cell=1.0, reach=8.0, tolerance=5e-4)
 
 
