@@ -104,11 +104,12 @@ def adequate(views: DataFrame, *, target: str, pos: str, at: str, baseline: floa
     return views.groupBy(target).agg(v.alias("v")).select(target, F.exists("v", lambda a: F.exists("v", lambda b: far(a, b))).alias("adequate"))
 
 
-def greedy_independent(views: DataFrame, *, target: str, order: str, x: str, y: str, baseline: float, most: int) -> DataFrame:
-    """How many views of each target stay when one is kept only if it is at least a baseline from all kept before, in order, up to `most`."""
-    v = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
-    kind = f"array<{views.select(F.struct(F.col(order).alias('o'), F.col(x).cast('double').alias('x'), F.col(y).cast('double').alias('y')).alias('s')).schema['s'].dataType.simpleString()}>"
-    step = lambda a, w: F.when((F.size(a) < most) & F.forall(a, lambda k: F.hypot(k["x"] - w["x"], k["y"] - w["y"]) >= baseline), F.concat(a, F.array(w))).otherwise(a)
+def greedy_independent(views: DataFrame, *, target: str, order: str, pos: str, at: str, baseline: float, degrees: float, most: int) -> DataFrame:
+    """How many views of each target stay when one is kept only if it is at least a baseline and an angle, as seen from the target, from all kept before, in order, up to `most`."""
+    v = F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col(pos).alias("o"), V.sub(F.col(pos), F.col(at)).alias("n"))))
+    kind = views.select(F.array(F.struct(F.col(order).alias("i"), F.col(pos).alias("o"), V.sub(F.col(pos), F.col(at)).alias("n"))).alias("v")).schema["v"].dataType
+    far = lambda k, w: (V.distance(k["o"], w["o"]) >= baseline) & (V.dot(k["n"], w["n"]) <= V.length(k["n"]) * V.length(w["n"]) * F.cos(F.radians(F.lit(degrees))))
+    step = lambda a, w: F.when((F.size(a) < most) & F.forall(a, lambda k: far(k, w)), F.concat(a, F.array(w))).otherwise(a)
     return views.groupBy(target).agg(v.alias("v")).select(target, F.aggregate("v", F.array().cast(kind), step, lambda a: F.size(a)).alias("kept"))
 
 

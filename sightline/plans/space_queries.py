@@ -61,8 +61,8 @@ def c21(s, d):
 
 
 def d25(s, d):
-    v = t(s, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), "l_quantity", (F.col("l_discount") * 100).alias("dy")).where("o % 7 = 0")
-    return S.greedy_independent(v, target="l_suppkey", order="o", x="l_quantity", y="dy", baseline=12.0, most=5)
+    v = t(s, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), V.vec(F.col("l_quantity"), F.col("l_discount") * 100, 0.0).alias("pos"), V.vec(0.0, 0.0, 0.0).alias("at"))
+    return S.greedy_independent(v, target="l_suppkey", order="o", pos="pos", at="at", baseline=12.0, degrees=12.0, most=5)
 
 
 def d22(s, d):

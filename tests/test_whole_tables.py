@@ -1,8 +1,13 @@
 """Queries over whole tables, held against plain Python over the same rows."""
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
 from sightline import registry
+from sightline.functions import vectors as V
+from sightline.operators import spatial
 
 WHOLE = "/root/testdata/sf0.01"
 
@@ -21,3 +26,36 @@ def test_every_part_is_a_ray(spark, parts):
 def test_every_part_is_a_segment(spark, parts):
     got = registry.queries()["c17_visible"](spark, WHOLE).collect()
     assert len(got) == len(parts) > 320 and {r.ray: r.visible for r in got} == {i: x > 4 for i, x, _ in parts}
+
+
+def fold(views, baseline, degrees, most):
+    """The reference's greedy set, view by view; views are (x, y, z) in order, seen from the origin."""
+    kept = []
+    for w in views:
+        if len(kept) < most and all(math.dist(k, w) >= baseline and sum(a * b for a, b in zip(k, w, strict=True)) <= math.cos(math.radians(degrees)) * math.hypot(*k) * math.hypot(*w) for k in kept):
+            kept.append(w)
+    return len(kept)
+
+
+def test_independent_views_want_baseline_and_angle(spark):
+    cases = {
+        "one line of sight": [(1, 0, 0), (20, 0, 0), (40, 0, 0)],
+        "near but turned": [(1, 0, 0), (0, 1, 0)],
+        "order decides": [(20, 0, 0), (20, 3, 0), (0, 20, 0), (20, 30, 0)],
+        "stops at most": [(20, 0, 0), (0, 20, 0), (0, 0, 20), (-20, 0, 0), (0, -20, 0), (0, 0, -20)],
+    }
+    rows = [(k, i, *map(float, v)) for k, views in cases.items() for i, v in enumerate(views)]
+    df = spark.createDataFrame(rows[::-1], "target string, i int, x double, y double, z double").select("target", "i", V.vec(F.col("x"), F.col("y"), F.col("z")).alias("pos"), V.vec(0.0, 0.0, 0.0).alias("at"))
+    got = spatial.greedy_independent(df, target="target", order="i", pos="pos", at="at", baseline=12.0, degrees=12.0, most=5)
+    want = {"one line of sight": 1, "near but turned": 1, "order decides": 3, "stops at most": 5}
+    assert {k: fold(v, 12, 12, 5) for k, v in cases.items()} == want
+    assert {r.target: r.kept for r in got.collect()} == want
+
+
+def test_independent_views_are_of_all_lineitems(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_discount") * 100).cast("double").alias("y")).collect()
+    views = {}
+    for r in sorted(rows, key=lambda r: r.o):
+        views.setdefault(r.l_suppkey, []).append((r.x, r.y, 0.0))
+    got = registry.queries()["d25_independent_views"](spark, sf).collect()
+    assert {r.l_suppkey: r.kept for r in got} == {k: fold(v, 12, 12, 5) for k, v in views.items()}
