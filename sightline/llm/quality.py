@@ -3,8 +3,8 @@
 Labelled documents form preference pairs, each a good one over a bad one. The
 probability that one is preferred is the logistic function of the difference of
 two scores, each linear in the document's binned surface features; the weights
-minimise that loss over the pairs. The scores' quantile at the labelled share of
-bad documents is the threshold, and the score put out is the logistic function
+minimise that loss over the pairs. The quantile of all labelled documents' scores at
+their share of bad ones is the threshold, and the score put out is the logistic function
 of the distance to it, shifted so that the threshold stands at 0.7.
 """
 
@@ -15,18 +15,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.llm import textbytes as tb
-from sightline.llm.frames import table, with_text
-from sightline.llm.sample import fold, labelled
+from sightline.llm.frames import cut, table, with_text
+from sightline.llm.sample import fold
 
 #: The sample that the model is fitted on.
-MOST_ROWS, MOST_BYTES, PAIRS = 4000, 6 << 20, 8_000
+MOST_ROWS, PAIRS = 6000, 24_000
+PAIRS_AT_ONCE = 2_000
 BINS = 8
 THRESHOLD = 0.7
+SCORE_BINS = 4096
 BLOCK_BYTES = 2 << 20
 MADE = ("score", "predicted")
 
@@ -100,7 +102,9 @@ def features(texts: pa.Array) -> np.ndarray:
 
 
 class Ranking:
-    """Bin borders, a weight for each bin, and the threshold."""
+    """Bin borders, a weight for each bin, and the threshold, which fit() sets."""
+
+    threshold = 0.0
 
     def __init__(self, x: np.ndarray, y: np.ndarray, bins: int = BINS, pairs: int = PAIRS):
         self.borders = [np.unique(np.quantile(np.concatenate([x[y == 0][:, j], x[y == 1][:, j]]), np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
@@ -111,38 +115,105 @@ class Ranking:
         d = f[rng.choice(good, pairs)] - f[rng.choice(bad, pairs)]
         w = np.zeros(f.shape[1])
         for _ in range(25):  # Newton steps on the mean logistic loss with a ridge
-            p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-            grad = -d.T @ (1 - p) / pairs + 1e-3 * w
-            hess = (d * (p * (1 - p))[:, None]).T @ d / pairs + 1e-3 * np.eye(len(w))
+            grad, hess = 1e-3 * w, 1e-3 * np.eye(len(w))
+            for at in range(0, pairs, PAIRS_AT_ONCE):
+                e = d[at : at + PAIRS_AT_ONCE].astype(float)
+                p = 1 / (1 + np.exp(-np.clip(e @ w, -30, 30)))
+                grad -= e.T @ (1 - p) / pairs
+                hess += (e * (p * (1 - p))[:, None]).T @ e / pairs
             step = np.linalg.solve(hess, grad)
             w -= step
             if np.abs(step).max() < 1e-6:
                 break
         self.w = w
-        s = np.sort(f @ w)
-        k = min(max(int((y == 0).sum()), 1), len(s) - 1)
-        self.threshold = float(s[k - 1] + s[k]) / 2
 
-    def binned(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), sum(len(b) + 1 for b in self.borders)))
+    def bins(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """For each feature, the place of each row's bin among all weights."""
         at = 0
         for j, b in enumerate(self.borders):
-            out[np.arange(len(x)), at + np.searchsorted(b, x[:, j], "right")] = 1
+            yield at + np.searchsorted(b, x[:, j], "right")
             at += len(b) + 1
+
+    def binned(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), sum(len(b) + 1 for b in self.borders)), np.int8)
+        for at in self.bins(x):
+            out[np.arange(len(x)), at] = 1
+        return out
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """Each row's weights summed in one order, so that a row's score doesn't hang on those beside it."""
+        out = np.zeros(len(x))
+        for at in self.bins(x):
+            out += self.w[at]
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = self.binned(x) @ self.w - self.threshold + math.log(THRESHOLD / (1 - THRESHOLD))
+        z = self.raw(x) - self.threshold + math.log(THRESHOLD / (1 - THRESHOLD))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Ranking | None:
-    """A ranking from the labelled documents outside the held-out fold; None if one of the labels is missing."""
-    texts, y = labelled(docs, labels, "quality", fold(F.col("doc_id"), 4) != 2, id_col=id_col, text_col=text_col, most_rows=most_rows, most_bytes=most_bytes)
+def labelled_features(docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, y, o, f): features and label of every labelled document that allowed, a condition on doc_id, holds for; o is a hash of the id.
+
+    Features are made where the texts are, so that no text is shuffled or collected.
+    Null ids, labels and texts are left out; of rows with one id the least features serve.
+    """
+    base = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & allowed).groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("quality").cast("int")).alias("y"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull())
+    schema = T.StructType([source.schema["id"], T.StructField("f", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            for a, b in tb.blocks(texts, BLOCK_BYTES):
+                x = features(texts.slice(a, b - a))
+                off = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(off), pa.array(x.ravel()))], names=["id", "f"])
+
+    found = source.mapInArrow(run, schema).join(base, "id").groupBy("id", "y").agg(F.min("f").alias("f"))
+    return found.select("id", "y", F.xxhash64("id").alias("o"), "f")
+
+
+def quantile_at(scores: DataFrame, k: int) -> float:
+    """The middle between the k-th and the next of all values of s in order; only the bins that hold them come to the driver."""
+    lo, hi = scores.agg(F.min("s"), F.max("s")).first()
+    if lo == hi:
+        return lo
+    binned = scores.withColumn("b", F.floor((F.col("s") - lo) / (hi - lo) * SCORE_BINS))
+    below, bins, before = 0, [], 0
+    for r in binned.groupBy("b").count().orderBy("b").collect():
+        if below < k + 1 and below + r["count"] >= k:
+            before = before if bins else below
+            bins.append(r.b)
+        below += r["count"]
+    near, at = [], before
+    for r in binned.where(F.col("b").isin(bins)).groupBy("s").count().orderBy("s").collect():
+        near += [r.s for rank in (k, k + 1) if at < rank <= at + r["count"]]
+        at += r["count"]
+    return sum(near) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> Ranking | None:
+    """A ranking from the labelled documents outside the held-out fold; None if one of the labels is missing.
+
+    The weights are fitted on the first most_rows by a hash of the id, whatever the
+    texts' lengths; the threshold is taken from all.
+    """
+    rows = cut(labelled_features(docs, labels, fold(F.col("doc_id"), 4) != 2, id_col=id_col, text_col=text_col))
+    sample = rows.orderBy("o", "id").limit(most_rows).select("y", "f").toArrow()
+    y = sample["y"].to_numpy()
     if len(set(y)) < 2:
         return None
-    t = pa.array(texts)
-    return Ranking(np.concatenate([features(t.slice(a, b - a)) for a, b in tb.blocks(t, BLOCK_BYTES // 4)]), np.array(y))
+    model = Ranking(np.array(sample["f"].combine_chunks().flatten()).reshape(len(y), -1), y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(model.raw(np.array(batch.column(0).flatten()).reshape(batch.num_rows, -1)))], names=["s"])
+
+    n, bad = rows.agg(F.count(F.lit(1)), F.count_if(F.col("y") == 0)).first()
+    model.threshold = quantile_at(rows.select("f").mapInArrow(run, "s double"), min(max(bad, 1), n - 1))
+    return model
 
 
 def score_quality(docs: DataFrame, model: Ranking | None, *, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
