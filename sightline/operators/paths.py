@@ -201,12 +201,12 @@ def uncross(points: DataFrame, *, key: str, order: Sequence[str], x: str, y: str
     """Two-opt: while two segments cross, the points between are turned round, at most so many times."""
 
     def crossing(p: np.ndarray) -> tuple[int, int] | None:
-        side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        side = lambda a, b, c: (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
         for i in range(len(p) - 3):
-            for j in range(i + 2, len(p) - 1):
-                a, b, c, d = p[i], p[i + 1], p[j], p[j + 1]
-                if side(a, b, c) * side(a, b, d) < -1e-12 and side(c, d, a) * side(c, d, b) < -1e-12:
-                    return i, j
+            a, b, c, d = p[i], p[i + 1], p[i + 2 : -1], p[i + 3 :]
+            hit = np.flatnonzero((side(a, b, c) * side(a, b, d) < -1e-12) & (side(c, d, a) * side(c, d, b) < -1e-12))
+            if len(hit):
+                return i, i + 2 + int(hit[0])
         return None
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -95,7 +95,7 @@ QUERIES = {
     "f41_short_fragments": lambda s, d: P.running_length(line(s, d), axes=["x", "y"], **O).groupBy("user_id").agg(F.round(F.max("along"), 4).alias("length")).where("length >= 150"),
     "f5_adaptive_stations": lambda s, d: P.adaptive_stations(line(s, d), x="x", y="y", spacing=20.0, gain=0.75, **O),
     "f26_simplify": lambda s, d: P.simplify(line(s, d).select("user_id", "ts", "event_id", "x", "y"), x="x", y="y", tolerance=15.0, **O),
-    "f30_uncross": lambda s, d: P.uncross(line(s, d).select("user_id", "ts", "event_id", (F.col("x") % 40).alias("x"), "y"), x="x", y="y", most=8, **O),
+    "f30_uncross": lambda s, d: P.uncross(line(s, d).select("user_id", "ts", "event_id", (F.col("x") % 40).alias("x"), "y"), x="x", y="y", **O),
     "j5_record_points": lambda s, d: P.drop_close(line(s, d).select("user_id", "ts", "event_id", "x", "y"), axes=["x", "y"], least=25.0, **O),
     "e24_boosted_shares": lambda s, d: Q.boosted_shares(nations(s, d), area="weight", total=1000, key="c_nationkey", least=8, boost=1.0).select("c_nationkey", "share"),
     "e25_largest_remainder": lambda s, d: Q.largest_remainder(nations(s, d), weight="weight", total=720, key="c_nationkey").select("c_nationkey", "share"),

@@ -59,3 +59,29 @@ def test_independent_views_are_of_all_lineitems(spark, sf):
         views.setdefault(r.l_suppkey, []).append((r.x, r.y, 0.0))
     got = registry.queries()["d25_independent_views"](spark, sf).collect()
     assert {r.l_suppkey: r.kept for r in got} == {k: fold(v, 12, 12, 5) for k, v in views.items()}
+
+
+def uncrossed(p, most):
+    """Two-opt pair by pair: the order of the points after at most so many swaps, and how many were made."""
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    idx = list(range(len(p)))
+    for n in range(most):
+        q = [p[k] for k in idx]
+        pairs = ((i, j) for i in range(len(q) - 3) for j in range(i + 2, len(q) - 1))
+        hit = next(((i, j) for i, j in pairs if side(q[i], q[i + 1], q[j]) * side(q[i], q[i + 1], q[j + 1]) < -1e-12 and side(q[j], q[j + 1], q[i]) * side(q[j], q[j + 1], q[i + 1]) < -1e-12), None)
+        if hit is None:
+            return idx, n
+        i, j = hit
+        idx[i + 1 : j + 1] = idx[i + 1 : j + 1][::-1]
+    return idx, most
+
+
+def test_lines_get_all_32_swaps(spark, sf):
+    got = registry.queries()["f30_uncross"](spark, sf).toPandas()
+    most = 0
+    for _, g in got.groupby("user_id"):
+        was = g.sort_values(["ts", "event_id"])
+        idx, n = uncrossed(was[["x", "y"]].to_numpy(float).tolist(), 32)
+        most = max(most, n)
+        assert was.event_id.iloc[idx].tolist() == g.sort_values("place").event_id.tolist()
+    assert most > 8
