@@ -15,6 +15,7 @@ left out of the index, which loses nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.llm import textbytes as tb
-from sightline.llm.frames import table, with_text
+from sightline.llm.frames import table, with_text, written
 
 WINDOW = 13
 SAMPLE = 16
 SHARD_WORDS = 1 << 19
 BLOCK_BYTES = 2 << 20
 #: The benchmark is broadcast in parts of at most so many bytes of text.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
+#: So many parts are searched in one pass over the documents; a larger benchmark takes several passes.
+PARTS_AT_ONCE = 4
 MADE = ("n_words", "n_hit", "spans", "item_ids")
 
 
@@ -38,7 +41,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     """Of non-negative integers of which the last is the only zero."""
     n = len(t)
     bits = max(1, int(t.max()).bit_length())
-    k = max(1, 62 // bits)
+    k = min(max(1, 62 // bits), n)
     key = np.zeros(n, np.int64)
     for j in range(k):
         key <<= bits
@@ -146,26 +149,26 @@ class Benchmark:
     def __init__(self, ids: list, texts: list[str], window: int = WINDOW):
         w = tb.Words(pa.array(texts, pa.string()), tb.ALNUM, True)
         self.vocabulary, code = np.unique(w.hashes(), return_inverse=True)
-        code = code + 1
-        seen: dict[bytes, int] = {}
-        rows, sizes, of = [], [], []
-        for k, (a, b) in enumerate(zip(w.word_off[:-1].tolist(), w.word_off[1:].tolist(), strict=True)):
-            size = min(window, b - a)
-            for i in range(a, b - size + 1) if size else ():
-                x = np.zeros(window, np.int64)
-                x[window - size :] = code[i : i + size]
-                at = seen.setdefault(x.tobytes(), len(rows))
-                if at == len(rows):
-                    rows.append(x)
-                    sizes.append(size)
-                of.append((at, k))
-        self.patterns = np.array(rows, np.int64).reshape(-1, window)
-        self.sizes = np.array(sizes, np.int64)
-        self.least = int(self.sizes.min()) if rows else 0
-        pairs = np.unique(np.array(of, np.int64).reshape(-1, 2), axis=0)
-        self.item_off = np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1))
+        code = code.astype(np.int32) + 1
+        place = {i: k for k, i in enumerate(dict.fromkeys(ids))}  # rows of one id are one item
+        item = np.array([place[i] for i in ids], np.int64)
+        counts = w.counts()
+        n = np.where(counts > 0, np.maximum(counts - window + 1, 1), 0)
+        of = np.repeat(item, n)
+        size = np.repeat(np.minimum(counts, window), n)
+        first = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - w.word_off[:-1], n)
+        rows = np.zeros((len(first), window), np.int32)  # right-aligned
+        for j in range(window):
+            i = np.flatnonzero(size > j)
+            rows[i, window - 1 - j] = code[first[i] + size[i] - 1 - j]
+        self.patterns, which = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
+        self.sizes = (self.patterns > 0).sum(1)
+        self.least = int(self.sizes.min()) if len(rows) else 0
+        pairs = np.unique(np.stack([which.ravel(), of], 1), axis=0)
+        self.item_off = np.searchsorted(pairs[:, 0], np.arange(len(self.patterns) + 1))
         self.items = pairs[:, 1]
-        self.ids = np.array(ids, object)
+        self.ids = np.empty(len(place), object)
+        self.ids[:] = list(place)
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[self.vocabulary & np.uint64(0xFFFF)] = True
 
@@ -228,11 +231,18 @@ class _Shard:
         rows = np.arange(len(which)) - np.repeat(np.cumsum(found) - found, found) + lo[which]
         return origin[index.locate(rows)], which
 
-    def results(self, parts: list[Benchmark]) -> tuple[list, list, list, list]:
+    def results(self, parts: list[Benchmark], before: tuple[list, list] | None = None) -> tuple[list, list, list, list]:
+        """Words, hit words, spans and items of each text; before: the spans and items that earlier passes found."""
         counts = np.concatenate(self.counts) if self.counts else np.zeros(0, np.int64)
         off = np.concatenate([[0], np.cumsum(counts)])
         cover = np.zeros(self.words + 1, np.int32)
-        items: list[list] = [[] for _ in counts]
+        items: list[dict] = [{} for _ in counts]
+        if before:
+            for d, (had, ids) in enumerate(zip(*before, strict=True)):
+                items[d].update(dict.fromkeys(ids))
+                for x in had:
+                    cover[off[d] + x["first"]] += 1
+                    cover[off[d] + x["end"]] -= 1
         for bench in parts:
             at, which = self.occurrences(bench)
             np.add.at(cover, at, 1)
@@ -243,7 +253,7 @@ class _Shard:
             d = np.repeat(hits[:, 0], n)
             k = bench.items[np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bench.item_off[hits[:, 1]], n)]
             for x, y in np.unique(np.stack([d, k], 1), axis=0).tolist() if len(d) else ():
-                items[x].append(bench.ids[y])
+                items[x][bench.ids[y]] = None
         hit = np.cumsum(cover[:-1]) > 0
         n_hit = tb.segment_sums(hit, off)
         # maximal runs of hit words, cut at texts' borders
@@ -257,7 +267,7 @@ class _Shard:
         spans: list[list] = [[] for _ in counts]
         for d, a, b in zip(doc.tolist(), (begins - off[doc]).tolist(), (finish - off[doc]).tolist(), strict=True):
             spans[d].append({"first": a, "end": b})
-        return counts.tolist(), n_hit.tolist(), spans, items
+        return counts.tolist(), n_hit.tolist(), spans, [list(x) for x in items]
 
 
 def _parts(benchmark: DataFrame, item_col: str, text_col: str, window: int, part_bytes: int) -> Iterator[Benchmark]:
@@ -277,28 +287,42 @@ def find_contamination(
 ) -> DataFrame:
     """One row per row of docs: the columns of keep, n_words, n_hit, spans, item_ids.
 
+    The benchmark reaches the driver one part at a time; PARTS_AT_ONCE parts are
+    broadcast for a pass, and where there are more, passes follow each other over a
+    written table, each adding to the spans and items before it.
+
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ with A-Z lower-cased. spans: the
     merged ranges [first, end) of words inside occurrences of benchmark windows;
-    item_ids: the items with occurring windows, ascending by place in the benchmark.
+    item_ids: the items with occurring windows, each once, however many benchmark rows
+    have its id; the rows with a null id are one item, whose id is null.
     A null or empty text has no words and no spans; a benchmark item without words
     has no window; an empty benchmark hits nothing; repeated rows each come out; a
     kept column with the name of an output comes out as in_<name>. A text is never
     cut: a shard ends between texts.
     """
-    spark = docs.sparkSession
-    parts = [spark.sparkContext.broadcast(p) for p in _parts(benchmark, item_col, item_text_col, window, part_bytes)]
-    item_type = benchmark.schema[item_col].dataType
     source, at, own = with_text(docs, keep, MADE, text_col)
-    schema = T.StructType(
-        [source.schema[c] for c in own]
-        + [
-            T.StructField("n_words", T.LongType()),
-            T.StructField("n_hit", T.LongType()),
-            T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))),
-            T.StructField("item_ids", T.ArrayType(item_type)),
-        ]
-    )
-    names = [f.name for f in schema.fields]
+    span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
+    made = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", span), T.StructField("item_ids", T.ArrayType(benchmark.schema[item_col].dataType))]
+    found = source.toDF(*[f"c{i}" for i in range(len(source.columns))])
+    parts = _parts(benchmark, item_col, item_text_col, window, part_bytes)
+    now = list(islice(parts, PARTS_AT_ONCE))
+    while now:
+        after = list(islice(parts, PARTS_AT_ONCE))
+        found = _search(found, at, made, now, len(source.columns) if after else len(own))
+        if after:
+            found = written(found, "decontamination")
+        now = after
+    return found.toDF(*own, *MADE)
+
+
+def _search(source: DataFrame, at: int, made: list[T.StructField], parts: list[Benchmark], n_out: int) -> DataFrame:
+    """The first n_out columns of source (c0, c1, ...) and the columns made, of these parts and of the passes before."""
+    sent = source.sparkSession.sparkContext.broadcast(parts)
+    again = made[0].name in source.columns
+    if again:
+        source = source.drop("n_words", "n_hit")
+    schema = T.StructType(source.schema.fields[:n_out] + made)
+    kept_columns = [*range(n_out), *([len(source.columns) - 2, len(source.columns) - 1] if again else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -308,12 +332,13 @@ def find_contamination(
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal shard, rows
-            made = shard.results([p.value for p in parts])
+            before = tuple([x for r in rows for x in r.column(r.num_columns - 2 + j).to_pylist()] for j in (0, 1)) if again else None
+            out = shard.results(sent.value, before)
             done = 0
             for r in rows:
                 n = r.num_rows
-                cols = [r.column(i) for i in range(r.num_columns)] + [pa.array(x[done : done + n], arrow.field(r.num_columns + j).type) for j, x in enumerate(made)]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                cols = r.columns[:n_out] + [pa.array(x[done : done + n], arrow.field(n_out + j).type) for j, x in enumerate(out)]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
                 done += n
             shard, rows = _Shard(), []
 
@@ -322,7 +347,7 @@ def find_contamination(
             for a, b in tb.blocks(texts, BLOCK_BYTES):
                 w = tb.Words(texts.slice(a, b - a), tb.ALNUM, True)
                 shard.add(w.hashes(), w.counts())
-                rows.append(batch.slice(a, b - a).select(list(range(len(own)))))
+                rows.append(batch.slice(a, b - a).select(kept_columns))
                 if shard.words >= SHARD_WORDS:
                     yield from flush()
         if rows:
@@ -338,9 +363,10 @@ def contaminated(n_hit: F.Column, n_words: F.Column) -> F.Column:
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["first"].cast("string"), x["end"].cast("string"))), ",")
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"), "spans"
-    ).drop("spans")
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"), spans.alias("spans")
+    )
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -353,9 +379,12 @@ ks as (select distinct k from bw),
 dw as (select doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') as g
   from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, ks where len(w) >= k)),
 hit as (select doc_id, i, dw.k as k, item_id from dw join bw on dw.g = bw.g and dw.k = bw.k),
-n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from hit) group by doc_id),
+place as (select distinct doc_id, unnest(range(i, i + k)) as p from hit),
+runs as (select doc_id, min(p) as a, max(p) as z from (select doc_id, p, p - row_number() over (partition by doc_id order by p) as run from place) group by doc_id, run),
+n as (select doc_id, sum(z - a + 1) as n_hit, string_agg((a - 1) || '-' || z, ',' order by a) as spans from runs group by doc_id),
 it as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as s from (select distinct doc_id, cast(item_id as varchar) as s from hit) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
-  sha256(coalesce(it.s, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+  sha256(coalesce(it.s, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated,
+  coalesce(n.spans, '') as spans
 from d left join n on n.doc_id = d.doc_id left join it on it.doc_id = d.doc_id
 """

@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.frames import cut, table
-from sightline.llm.substrings import written
+from sightline.llm.frames import cut, table, written
 
 LEAF_BYTES = 64 << 10
 FANOUT = 16
@@ -52,14 +51,16 @@ def manifest(archive: DataFrame) -> DataFrame:
     return rows.withColumn("inside", inside).join(F.broadcast(start), "file").select("seq", "record_id", "length", "digest", (F.col("start") + F.col("inside")).alias("offset"))
 
 
-def _gather(rows: DataFrame, node: Column, order: str, digest: str) -> DataFrame:
-    inner = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(digest).alias("d"))))
-    return rows.groupBy(node.alias("node")).agg(F.sha2(F.array_join(F.transform(inner, lambda x: x["d"]), ""), 256).alias("digest"))
+def _gather(rows: DataFrame, node: Column, *fields: str) -> DataFrame:
+    """(node, digest): the hash of a node's rows, each written with all its fields, the place first; a null counts as -."""
+    inner = F.sort_array(F.collect_list(F.struct(*fields)))
+    line = lambda x: F.concat_ws(":", *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields])
+    return rows.groupBy(node.alias("node")).agg(F.sha2(F.array_join(F.transform(inner, line), ","), 256).alias("digest"))
 
 
 def tree(records: DataFrame, total: int, *, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> list[DataFrame]:
-    """The tree's levels (node, digest) from the leaves' ranges to the root, of records (offset, digest)."""
-    levels = [cut(_gather(records, F.floor(F.col("offset") / leaf_bytes).cast("long"), "offset", "digest"))]
+    """The tree's levels (node, digest) from the leaves' ranges to the root, of records (offset, digest, n)."""
+    levels = [cut(_gather(records, F.floor(F.col("offset") / leaf_bytes).cast("long"), "offset", "digest", "n"))]
     nodes = max(1, -(-total // leaf_bytes))
     while nodes > 1:
         levels.append(cut(_gather(levels[-1], F.floor(F.col("node") / fanout).cast("long"), "node", "digest")))
@@ -70,12 +71,14 @@ def tree(records: DataFrame, total: int, *, leaf_bytes: int = LEAF_BYTES, fanout
 def audit(own: DataFrame, replica: DataFrame, *, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> DataFrame:
     """offset, status of the records that differ: corrupt, missing (in the replica) or extra (only there).
 
-    own, replica: (offset, digest). Equal roots end the audit with no rows. Otherwise
-    it goes down one level at a time, to the children of differing nodes alone. Null
-    offsets take no part; two records at one offset in a replica count as corrupt
-    unless each equals the own one.
+    own, replica: (offset, digest). A node's hash binds its records' offsets, digests
+    and numbers, a null digest too. Equal roots end the audit with no rows. Otherwise
+    it goes down one level at a time, to the children of differing nodes alone. An
+    offset comes out once: missing or extra if one side has no record there, corrupt
+    if the records there, counted, are not the same. Null offsets take no part; an
+    empty side makes all records of the other differ.
     """
-    own, replica = own.select("offset", "digest").where("offset is not null"), replica.select("offset", "digest").where("offset is not null")
+    own, replica = (d.where("offset is not null").groupBy("offset", "digest").agg(F.count(F.lit(1)).alias("n")) for d in (own, replica))
     ends = [r or 0 for d in (own, replica) for r in d.agg(F.max("offset")).first()]
     a, b = (tree(d, max(ends) + 1, leaf_bytes=leaf_bytes, fanout=fanout) for d in (own, replica))
     bad = None
@@ -87,10 +90,10 @@ def audit(own: DataFrame, replica: DataFrame, *, leaf_bytes: int = LEAF_BYTES, f
         if bad.isEmpty():
             break
     at = F.floor(F.col("offset") / leaf_bytes).cast("long")
-    left, right = (d.withColumn("node", at).join(bad, "node", "left_semi").select("offset", "digest") for d in (own, replica))
-    both = left.alias("x").join(right.alias("y"), "offset", "full").where(~F.col("x.digest").eqNullSafe(F.col("y.digest")))
-    status = F.when(F.col("y.digest").isNull(), "missing").when(F.col("x.digest").isNull(), "extra").otherwise("corrupt")
-    return both.select("offset", status.alias("status")).distinct()
+    sides = [d.withColumn("node", at).join(bad, "node", "left_semi").select("offset", "digest", F.lit(side).alias("side"), "n") for side, d in enumerate((own, replica))]
+    each = sides[0].unionByName(sides[1]).groupBy("offset", "digest").agg(*[F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)])
+    found = each.groupBy("offset").agg(F.max(F.col("n0") != F.col("n1")).alias("differs"), F.sum("n0").alias("here"), F.sum("n1").alias("there")).where("differs")
+    return found.select("offset", F.when(F.col("there") == 0, "missing").when(F.col("here") == 0, "extra").otherwise("corrupt").alias("status"))
 
 
 def op3_fixity_audit(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.llm import textbytes as tb
-from sightline.llm.frames import ensure_checkpoint_dir, table, with_text
+from sightline.llm.frames import table, with_text, written
 
 WINDOW = 35
 GRAM = 8
@@ -251,15 +251,6 @@ def _contexts(docs: DataFrame, text_col: str, bits: int, sketch: np.ndarray, win
     return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "g long, c long, hs array<long>")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder."""
-    import uuid
-
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(id, th, marks): for each text with repeated windows, structs (first, n, mask).
 
@@ -296,14 +287,15 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comes out as in_<name>.
     """
     marks = repeated_windows(docs, id_col=id_col, text_col=text_col, window=window, gram=gram)
-    sent, at_text, carried = with_text(docs.withColumn("__id", F.col(id_col)), [*keep, "__id"], MADE, text_col)
-    carried = carried[:-1]
-    own = sent.withColumn("__th", F.xxhash64(F.coalesce(F.col(sent.columns[at_text]), F.lit(""))))
-    both = own.join(marks, own["__id"].eqNullSafe(marks["id"]) & (own["__th"] == marks["th"]), "left")
-    texts = [] if text_col in keep else ["__text"]
-    at_text, at_marks = (at_text if text_col in keep else len(carried)), len(carried) + len(texts)
-    source = both.select(*carried, *texts, F.transform("marks", lambda m: m["first"]).alias("__first"), F.transform("marks", lambda m: m["mask"]).alias("__mask"), F.transform("marks", lambda m: m["n"]).alias("__n"))
-    schema = T.StructType([source.schema[c] for c in carried] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    sent, at_text, outer = with_text(docs, keep, MADE, text_col)
+    carried = [f"c{i}" for i in range(len(outer))]
+    texts = [] if text_col in keep else ["text"]
+    id_key = docs.select(F.col(f"`{id_col}`").alias("own_id"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, carried, strict=True)], *[F.col(f"`{text_col}`").alias(n) for n in texts])
+    own = id_key.withColumn("own_th", F.xxhash64(F.coalesce(F.col((carried + texts)[at_text]), F.lit(""))))
+    both = own.join(marks, own["own_id"].eqNullSafe(marks["id"]) & (own["own_th"] == marks["th"]), "left")
+    at_marks = len(carried) + len(texts)
+    source = both.select(*carried, *texts, *[F.col(f"marks.{f}").alias(f"m_{f}") for f in ("first", "mask", "n")])
+    schema = T.StructType([T.StructField(n, sent.schema[o].dataType) for n, o in zip(carried, outer, strict=True)] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +332,7 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 text = pa.LargeStringArray.from_buffers(len(left), pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(out[solid])))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carried)], pa.array(w.counts()), pa.array(n_gone), text.cast(pa.string())], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*outer, *MADE)
 
 
 def op8_substrings(spark, sf_dir: str) -> DataFrame:

@@ -70,3 +70,25 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert D.find_contamination(d.limit(0), b).count() == 0
     assert D.find_contamination(d, b.limit(0)).collect() == [Row(doc_id=1, n_words=2, n_hit=0, spans=[], item_ids=[])]
+
+
+def test_a_tiny_shard_and_a_large_vocabulary(spark):
+    """A shard shorter than the symbols that one key packs."""
+    b = spark.createDataFrame([(1, " ".join(f"v{i}" for i in range(4000))), (2, "lone")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "lone")], "doc_id long, text string").repartition(1)
+    r = D.find_contamination(d, b).first()
+    assert (r.n_words, r.n_hit, r.item_ids) == (1, 1, [2])
+    for n in (1, 2, 3):
+        t = np.arange(n, 0, -1)
+        assert D.suffix_array(np.append(t + 60_000, 0)).tolist() == list(range(n, -1, -1))
+
+
+def test_rows_of_one_item(spark):
+    """Rows that share an id are one item, in one part or in several; null ids are one item, too."""
+    long = " ".join(f"w{i}" for i in range(15))
+    b = spark.createDataFrame([(1, long), (1, long), (2, "q r " + long), (None, "z z"), (None, "y y"), (1, "only here")], "item_id long, text string").coalesce(1)
+    d = spark.createDataFrame([(1, long), (2, "z z, y y"), (3, "only here")], "doc_id long, text string")
+    for part_bytes in (1 << 20, 1):
+        got = {r.doc_id: r for r in D.find_contamination(d, b, part_bytes=part_bytes).collect()}
+        assert got[1].item_ids == [1, 2] and got[2].item_ids == [None] and got[3].item_ids == [1]
+        assert [(s.first, s.end) for s in got[2].spans] == [(0, 4)] and got[1].n_hit == 15

@@ -54,3 +54,16 @@ def test_a_full_sketch_changes_nothing(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in S.remove_repeated(docs).collect())
     assert got == [(i, *w) for i, w in enumerate(brute(texts, 35))]
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (2, "x " + text), (3, "y")], "doc_id long, text string")
+    for c in ("id", "th", "marks", "own_id", "own_th", "c0", "n_words", "m_first"):
+        df = df.withColumn(c, F.lit(c))
+    for keep in (df.columns, [c for c in df.columns if c != "text"]):
+        got = {r.doc_id: r for r in S.remove_repeated(df, keep=keep).collect()}
+        assert [got[i].n_removed for i in (1, 2, 3)] == [60, 60, 0]
+        assert all(r.id == "id" and r.marks == "marks" and r.in_n_words == "n_words" for r in got.values())
