@@ -6,6 +6,13 @@ differ in at most three bits differ in at most one bit of some segment, so each
 fingerprint looks up the Hamming ball of radius one around each of its segments
 and verifies the whole distance of what it finds. Links join distinct
 fingerprints only: copies are never expanded into pairs.
+
+A segment value with more than CROWD fingerprints is not joined pair by pair.
+There each fingerprint is kept once for every choice of three of the other
+segment's bits, with these cleared, and once for every bit of its own segment and
+two of the other. Those that agree in such a key differ in at most three bits, and
+any two that do agree in one; each is linked to the key's least, which leaves the
+same components with rows in proportion to the crowd.
 """
 
 from __future__ import annotations
@@ -24,6 +31,8 @@ from sightline.llm.graph import components
 
 SHINGLE = 3
 DISTANCE = 3
+#: Fingerprints with one segment value, from which on keys with cleared bits take the place of pairs.
+CROWD = 1 << 15
 BLOCK_BYTES = 2 << 20
 MADE = ("fingerprint", "component_id", "text_hash")
 _LANES = np.uint64(0x0101010101010101)
@@ -69,32 +78,69 @@ def with_fingerprint(docs: DataFrame, *, text_col: str = "text", keep: Sequence[
     return source.mapInArrow(run, schema)
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(u, v): the distinct fingerprints that differ in one to DISTANCE bits, each pair once or twice."""
-    half = F.lit(0xFFFFFFFF)
-    low, high = F.col("fingerprint").bitwiseAND(half), F.shiftrightunsigned("fingerprint", 32)
-    segments = prints.select("fingerprint", F.posexplode(F.array(low, high)).alias("segment", "value"))
-    held = segments.select("segment", "value", F.col("fingerprint").alias("v"))
+def _segments(prints: DataFrame) -> DataFrame:
+    low, high = F.col("fingerprint").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fingerprint", 32)
+    return prints.select("fingerprint", F.posexplode(F.array(low, high)).alias("segment", "value"))
+
+
+def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(u, v): pairs of distinct fingerprints that differ in one to DISTANCE bits, once or twice each.
+
+    All such pairs, but for those between two members of crowded segment values: of
+    these come pairs that join the same fingerprints into the same components.
+    """
+    segments = _segments(prints)
+    full = cut(segments.groupBy("segment", "value").count().where(F.col("count") > crowd).select("segment", "value"))
+    if not full.isEmpty():
+        crowded = segments.join(full, ["segment", "value"], "left_semi")
+        return _pairs(segments, segments.join(full, ["segment", "value"], "left_anti")).unionByName(_pairs(segments.join(full, ["segment", "value"], "left_anti"), crowded)).unionByName(_crowd_links(crowded))
+    return _pairs(segments, segments)
+
+
+def _pairs(asking: DataFrame, asked: DataFrame) -> DataFrame:
+    """Radius-one lookups of the asking (segment, value, fingerprint) among the asked, verified by the whole distance."""
+    held = asked.select("segment", "value", F.col("fingerprint").alias("v"))
     # of two values that differ in one bit, the one that has it unset looks for the other
     ball = F.concat(F.array(F.lit(0).cast("long")), F.array(*[F.lit(1 << j).cast("long") for j in range(32)]))
-    asked = segments.select("segment", "value", F.col("fingerprint").alias("u"), F.explode(F.filter(ball, lambda b: b.bitwiseAND(F.col("value")) == 0)).alias("bit")).select(
-        "segment", F.col("value").bitwiseOR(F.col("bit")).alias("value"), "u", (F.col("bit") == 0).alias("same")
-    )
-    a, b = asked.alias("a"), held.alias("b")
+    asked_for = asking.select("segment", "value", F.col("fingerprint").alias("u"), F.explode(F.filter(ball, lambda b: b.bitwiseAND(F.col("value")) == 0)).alias("bit")).select("segment", F.col("value").bitwiseOR(F.col("bit")).alias("value"), "u", (F.col("bit") == 0).alias("same"))
+    a, b = asked_for.alias("a"), held.alias("b")
     near = (F.bit_count(F.col("a.u").bitwiseXOR(F.col("b.v"))) <= DISTANCE) & (F.col("a.u") != F.col("b.v")) & (~F.col("a.same") | (F.col("a.u") < F.col("b.v")))
     return a.join(b, (F.col("a.segment") == F.col("b.segment")) & (F.col("a.value") == F.col("b.value")) & near).select("a.u", "b.v")
 
 
-def _classes(rows: DataFrame, id_col: str) -> DataFrame:
-    """fingerprint, root, component_id: of every distinct fingerprint in rows."""
-    prints = rows.groupBy("fingerprint").agg(F.min(id_col).alias("least"))
-    roots = components(links(prints.select("fingerprint")))
+def _crowd_links(crowded: DataFrame) -> DataFrame:
+    """(u, v): each member with the least fingerprint that agrees with it outside three cleared bits, at most one of them in the crowded segment."""
+    bit = [1 << j for j in range(32)]
+    three = [a | b | c for i, a in enumerate(bit) for j, b in enumerate(bit[:i]) for c in bit[:j]]
+    two = [a | b for i, a in enumerate(bit) for b in bit[:i]]
+    other = lambda masks: F.array(*[F.lit(m).cast("long") for m in masks])
+    at = F.when(F.col("segment") == 0, F.lit(0)).otherwise(F.lit(32))
+    rows = crowded.select("segment", "fingerprint", at.alias("own"), (F.lit(32) - at).alias("far"))
+    shift = lambda m, by: F.call_function("shiftleft", m, by)
+    whole = rows.select("fingerprint", "far", F.explode(other(three)).alias("m")).select("fingerprint", shift(F.col("m"), F.col("far")).alias("mask"))
+    inner = rows.select("fingerprint", "own", "far", F.explode(other(bit)).alias("m1"))
+    edge = inner.select("fingerprint", "own", "far", "m1", F.explode(other(two)).alias("m2")).select("fingerprint", shift(F.col("m1"), F.col("own")).bitwiseOR(shift(F.col("m2"), F.col("far"))).alias("mask"))
+    keyed = whole.unionByName(edge).withColumn("key", F.col("fingerprint").bitwiseAND(F.bitwise_not("mask")))
+    least = keyed.groupBy("mask", "key").agg(F.min("fingerprint").alias("v"), F.max("fingerprint").alias("top")).where("v != top").select("mask", "key", "v")
+    return keyed.join(least, ["mask", "key"]).where("fingerprint != v").select(F.col("fingerprint").alias("u"), "v").distinct()
+
+
+def _classes(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """fingerprint, root, component_id: of every distinct fingerprint in rows (id, fingerprint)."""
+    prints = rows.groupBy("fingerprint").agg(F.min("id").alias("least"))
+    roots = components(links(prints.select("fingerprint"), crowd))
     of = prints.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     return of.select("fingerprint", "root").join(least, "root")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def _prints(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str]) -> DataFrame:
+    """The columns of keep as k0, k1, ..., with id, text_hash and fingerprint."""
+    named = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return cut(with_fingerprint(named, keep=[c for c in named.columns if c != "text"]))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ("doc_id",), crowd: int = CROWD) -> DataFrame:
     """One row per row of docs: the columns of keep, text_hash, fingerprint (long), component_id.
 
     component_id is the least non-null id among all documents that links reach,
@@ -103,25 +149,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     empty table gives no rows; a kept column with an output's name comes out as
     in_<name>.
     """
-    own = list(dict.fromkeys([id_col, *keep]))
-    rows = cut(with_fingerprint(docs, text_col=text_col, keep=own))
-    out = rows.join(_classes(rows, id_col), "fingerprint")
-    mine = [c for c in rows.columns[: len(own)] if c == id_col and id_col in keep or c != id_col]
-    return out.select(*mine, "text_hash", "fingerprint", "component_id")
+    rows = _prints(docs, id_col, text_col, keep)
+    out = rows.join(_classes(rows, crowd).select("fingerprint", "component_id"), "fingerprint")
+    return out.select(*[F.col(f"k{i}") for i in range(len(keep))], "text_hash", "fingerprint", "component_id").toDF(*docs.select(*kept(docs, keep, MADE)).columns, "text_hash", "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs less all but one of each component: the least (id, text hash), null ids last.
 
-    Of rows alike in id and text one stays. Texts travel once, to the survivors' join.
+    Of rows alike in id and text one stays. Null and empty texts are one component; an
+    empty table gives no rows; columns may have any names. Texts travel once, to the
+    survivors' join.
     """
-    rows = cut(with_fingerprint(docs, text_col=text_col, keep=[id_col])).withColumnRenamed(id_col, "__id")
-    classes = _classes(rows, "__id").select("fingerprint", "root")
-    who = rows.join(classes, "fingerprint").groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("text_hash").alias("h"))).alias("s"))
-    stay = who.select(F.col("s.id").alias("__id"), F.col("s.h").alias("__hash"))
-    own = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = own.join(stay, (own["__key"] == stay["__hash"]) & own[id_col].eqNullSafe(stay["__id"]))
-    return joined.dropDuplicates([id_col, "__key"]).select(*docs.columns)
+    rows = _prints(docs, id_col, text_col, ())
+    who = rows.join(_classes(rows).select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("s"))
+    stay = who.select(F.col("s.id").alias("stay_id"), F.col("s.text_hash").alias("stay_hash"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text_hash"))
+    joined = own.join(stay, (own["text_hash"] == stay["stay_hash"]) & own["id"].eqNullSafe(stay["stay_id"]))
+    return joined.dropDuplicates(["id", "text_hash"]).select(*names).toDF(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

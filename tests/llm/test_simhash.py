@@ -74,3 +74,37 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c", "x")], "doc_id long, text string, fingerprint string")
     r = simhash.near_duplicates(df, keep=["doc_id", "fingerprint", "text"]).first()
     assert r.in_fingerprint == "x" and r.text == "a b c" and r.component_id == 1
+
+
+def test_crowded_segments_have_the_same_components(spark):
+    """Keys with cleared bits in place of pairs join the same fingerprints."""
+    rng = np.random.default_rng(9)
+    base = [int(x) for x in rng.integers(0, 2**63, 4)]
+    prints = set(base)
+    for b in base:
+        for _ in range(25):
+            x = b
+            for j in rng.choice(64, int(rng.integers(1, 5)), replace=False):
+                x ^= 1 << int(j)
+            prints.add(x)
+    prints = sorted(x - (1 << 64) if x >= 1 << 63 else x for x in prints)
+    df = spark.createDataFrame([(x,) for x in prints], "fingerprint long")
+    mask = (1 << 64) - 1
+    near = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if bin((a ^ b) & mask).count("1") <= 3]
+    want = roots(prints, near)
+    for crowd in (1, 4, 1000):
+        got = [(r.u, r.v) for r in simhash.links(df, crowd).collect()]
+        assert all(0 < bin((a ^ b) & mask).count("1") <= 3 for a, b in got)
+        assert roots(prints, got) == want
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (None, None), (None, "")], "doc_id long, text string")
+    for c in ("root", "id", "fingerprint", "text_hash", "least", "__key", "k0", "c0"):
+        df = df.withColumn(c, F.lit(c))
+    got = simhash.near_duplicates(df, keep=df.columns).collect()
+    assert len(got) == 4 and all(r.root == "root" and r.in_fingerprint == "fingerprint" and r.id == "id" for r in got)
+    one = simhash.keep_one(df)
+    assert one.columns == df.columns and sorted((str(r.doc_id), r["__key"]) for r in one.collect()) == [("1", "__key"), ("None", "__key")]
