@@ -21,6 +21,8 @@ from sightline.llm.frames import table
 #: The template's control strings.
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LEARNED = "assistant"
+#: Pieces whose sizes are summed up as one.
+BLOCK = 256
 
 
 def escape(text: Column) -> Column:
@@ -40,7 +42,10 @@ def unescape_role(role: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per conversation: conv_id, pieces (structs text, loss), formatted.
+    """One row per conversation: conv_id, pieces (structs text, loss), formatted, mask.
+
+    mask: structs (start, size) of the texts to learn in formatted, in bytes of its
+    UTF-8 form, from 0 on.
 
     Turns stand in the order of turn, then role, then text; a null turn comes first,
     null roles and texts are empty, and rows with a null conversation are one. A
@@ -69,7 +74,29 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
         return F.concat(head, texts, F.array(F.struct(F.lit(END + "\n").alias("text"), F.lit(False).alias("loss"))))
 
     out = sorted_turns.withColumn("s", starts).select("conv_id", merged.alias("m")).select("conv_id", F.flatten(F.transform("m", pieces)).alias("pieces"))
-    return out.select("conv_id", "pieces", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"))
+    return out.select("conv_id", "pieces", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), _mask(F.col("pieces")).alias("mask"))
+
+
+def _mask(pieces: Column) -> Column:
+    """Where the pieces with the loss flag stand. Sizes are summed up by blocks first, so that long conversations stay cheap."""
+    sizes = F.transform(pieces, lambda p: F.octet_length(p["text"]).cast("long"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def placed(n: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(n, b * BLOCK + 1, BLOCK)))
+
+        def start(at: Column, i: Column) -> Column:
+            b = F.floor(i / BLOCK).cast("int")
+            return total(F.slice(at, F.lit(1), b)) + total(F.slice(n, b * BLOCK + 1, i - b * BLOCK))
+
+        return F.get(F.transform(F.array(blocks), lambda at: F.filter(F.transform(pieces, lambda p, i: F.when(p["loss"], F.struct(start(at, i).alias("start"), F.get(n, i).alias("size")))), lambda m: m.isNotNull())), 0)
+
+    return F.get(F.transform(F.array(sizes), placed), 0)
+
+
+def learned(formatted: Column, mask: Column) -> Column:
+    """The texts under the mask, read from the formatted conversation, unescaped and joined."""
+    return F.get(F.transform(F.array(formatted.cast("binary")), lambda b: F.array_join(F.transform(mask, lambda m: unescape(F.substring(b, m["start"].cast("int") + 1, m["size"].cast("int")).cast("string"))), "")), 0)
 
 
 def read_back(formatted: Column) -> Column:
@@ -90,8 +117,7 @@ def op6_chat_format(spark, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], own.schema)
     done = format_chats(own.unionByName(probe))
     turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: unescape(p["text"])), "")
-    return done.select("conv_id", read_back(F.col("formatted")).alias("turns"), learned.alias("learned"), F.length("formatted").cast("long").alias("formatted_chars")).select(
+    return done.select("conv_id", read_back(F.col("formatted")).alias("turns"), learned(F.col("formatted"), F.col("mask")).alias("learned"), F.length("formatted").cast("long").alias("formatted_chars")).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars"
     )
 

@@ -14,24 +14,33 @@ def test_chat_round_trip(spark):
     turns = [(1, i, r, t) for i, (r, t) in enumerate(zip(["user", "assistant", "assistant", "we<|im_sep|>ird\nrole", "user", None, "<\\n"] * 2, nasty, strict=True))]
     turns += [(2, 5, "assistant", "b"), (2, 1, "assistant", "a"), (2, 5, "assistant", "b"), (2, None, "system", "s"), (None, 0, "user", "z")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("pieces", F.lit("mine"))
-    out = chat.format_chats(df).select("*", chat.read_back(F.col("formatted")).alias("turns"), F.array_join(F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: chat.unescape(p["text"])), "").alias("learned")).collect()
+    out = chat.format_chats(df).select("*", chat.read_back(F.col("formatted")).alias("turns"), chat.learned(F.col("formatted"), F.col("mask")).alias("learned")).collect()
     assert len(out) == 3
     for r in out:
         own = sorted([t for t in turns if t[0] == r.conv_id], key=lambda t: (t[1] is not None, t[1] or 0, (t[2] or "").encode(), (t[3] or "").encode()))
         assert [(x.role, x.text) for x in r.turns] == [(t[2] or "", t[3] or "") for t in own]
         assert r.learned == "".join(t[3] or "" for t in own if t[2] == "assistant")
         assert r.formatted == "".join(p.text for p in r.pieces)
+        own_bytes = r.formatted.encode()
+        assert [own_bytes[m.start : m.start + m.size].decode() for m in r.mask] == [p.text for p in r.pieces if p.loss]
     two = next(r for r in out if r.conv_id == 2)
     assert two.formatted.count("<|im_start|>") == 2  # three assistant turns are one block
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_chat(spark):
+    turns = [(1, i, "assistant" if i % 3 else "user", f"é{i}<|") for i in range(3000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    r = chat.format_chats(df).select(chat.learned(F.col("formatted"), F.col("mask")).alias("learned")).first()
+    assert r.learned == "".join(t[3] for t in turns if t[2] == "assistant")
+
+
 def test_url_rules(spark):
     cases = [
         ("https://Example.COM/en/7x?q", "example.com", "/en/7x", "example.com/en/7", "allow"), ("http://a.example.com/en/8#t", "a.example.com", "/en/8", "com/en/", "block"), ("http://net/de/", "net", "/de/", "net/de/", "allow"),
         ("x://m.example.net/de/8", "m.example.net", "/de/8", "example.net/de/8", "block"), ("http://badnet/de/", "badnet", "/de/", None, None), ("http://a.org?/es/", "a.org", "", None, None), ("http://a.org/ES/", "a.org", "/ES/", None, None),
-        (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("no-scheme.com/en/", "", "", None, "allow"), ("a://b://c/d", "b:", "//c/d", None, None), ("https://www.cheap-pills.example.com/fr/3", "www.cheap-pills.example.com", "/fr/3", None, "block"),
-        ("http://casino-win.example.org/fr/9\n", "casino-win.example.org", "/fr/9\n", None, "block"), ("https://museum.example.org/fr/9", "museum.example.org", "/fr/9", None, "allow"),
+        (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("no-scheme.com/en/", "", "", None, None), ("http:///casino-poker/xxx-pills", "", "/casino-poker/xxx-pills", None, "block"), ("a://b://c/d", "b:", "//c/d", None, None), ("https://www.best-pills.example.com/fr/3", "www.best-pills.example.com", "/fr/3", None, "block"),
+        ("http://casino-bonus.example.org/fr/9\n", "casino-bonus.example.org", "/fr/9\n", None, "block"), ("https://museum.example.org/fr/9", "museum.example.org", "/fr/9", None, "allow"),
     ]
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "page_id long, url string").withColumn("host", F.lit("mine"))
     got = {r.page_id: r for r in urls.judge(df, keep=["page_id", "host"]).collect()}
@@ -40,9 +49,20 @@ def test_url_rules(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule), r
         assert verdict in (None, r.verdict), r
         assert r.in_host == "mine"
+    model = {r.page_id: r.score for r in got.values()}
+    assert all(r.verdict == ("block" if model[i] >= 0.5 else "allow") for i, r in got.items() if r.rule is None)
     assert urls.judge(df.select("page_id", "url").limit(0)).count() == 0
 
 
+def test_urls_of_unseen_hosts(spark):
+    """Accuracy on hosts that training didn't see: compounds of its words in another form."""
+    seen = [(f"https://shop.{a}-{b}.test/x/{i}", 1) for i, (a, b) in enumerate(zip(urls.UNWANTED, urls.UNWANTED[7:], strict=False))]
+    seen += [(f"https://shop.{a}-{b}.test/x/{i}", 0) for i, (a, b) in enumerate(zip(urls.WANTED, urls.WANTED[7:], strict=False))]
+    df = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(seen)], "page_id long, url string, y int")
+    got = urls.judge(df, keep=["page_id", "y"]).toPandas()
+    assert ((got.verdict == "block") == (got.y == 1)).mean() > 0.9
+
+
 def test_url_scores_by_hand(spark):
     w, bias = urls.train(spark)
     df = spark.createDataFrame([("www.spam-farm.example.com", "/en/12")], "h string, p string")
@@ -76,6 +96,44 @@ def test_base_rules(spark):
     assert rules.apply_rules(df.limit(0), labels).count() == 0
 
 
+def test_kept_against_plain_counts(spark):
+    """Scores and verdicts against multinomials counted in Python over hashes that Spark makes one by one."""
+    import math
+    import random
+
+    rnd = random.Random(4)
+    good, bad = [f"g{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    texts = {i: " ".join(rnd.choice(good if i % 3 else bad) for _ in range(25 + i % 9)) for i in range(150)} | {150: "short", 151: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 if i % 3 else 0) for i in range(0, 100, 2)] + [(None, 1)], "doc_id long, quality int")
+    n = rules.bucket_count(len(texts))
+    trusted = [i for i in range(0, 100, 2) if i % 3]
+    half = {r.i: r.h for r in spark.createDataFrame([(i,) for i in trusted], "i long").selectExpr("i", "pmod(xxhash64(i), 2) h").collect()}
+    grams = {}
+    for i, t in texts.items():
+        w = t.split()
+        grams[i] = [(x,) for x in w] + list(zip(w, w[1:], strict=False))
+    every = sorted({g for v in grams.values() for g in v})
+    one = spark.createDataFrame([(k, g[0], g[-1], len(g)) for k, g in enumerate(every)], "k int, a string, z string, n int")
+    place = {every[r.k]: r.b for r in one.selectExpr("k", f"pmod(case when n = 1 then xxhash64(a) else xxhash64(xxhash64(a), xxhash64(z)) end, {n}) b").collect()}
+    raw, fit = [1] * n, [1] * n
+    for i, v in grams.items():
+        for g in v:
+            raw[place[g]] += 1
+            fit[place[g]] += half.get(i) == 0
+    ratio = [math.log(f / sum(fit)) - math.log(r / sum(raw)) for f, r in zip(fit, raw, strict=True)]
+    score = {i: sum(ratio[place[g]] for g in v) / len(v) if v else 0.0 for i, v in grams.items()}
+    held = sorted(score[i] for i in trusted if half[i] == 1)
+    at = 0.005 * (len(held) - 1)
+    least = held[int(at)] + (at % 1) * (held[int(at) + 1] - held[int(at)])
+    got = rules.apply_rules(docs, labels).collect()
+    assert len(got) == len(texts) and 0 < sum(r.kept for r in got) < 152
+    for r in got:
+        assert abs(r.score - score[r.doc_id]) < 1e-4
+        failed = base(texts[r.doc_id])[0] < 20 or 100 * base(texts[r.doc_id])[4] > 30 * base(texts[r.doc_id])[0]
+        assert r.kept == (not failed and score[r.doc_id] >= least - 1e-4) or abs(score[r.doc_id] - least) < 1e-3
+
+
 def test_targets(spark):
     def fill(sizes):
         order = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -100,7 +158,7 @@ def test_targets(spark):
 
 
 def test_mixture(spark):
-    docs = [(i, " ".join(["w"] * (i % 13)), f"s{i % 4}" if i % 5 else None) for i in range(400)] + [(7, None, "s1"), (None, "a b", "s2"), (3, "q q", "s3"), (3, "q q", "s3"), (900, "z " * 40_000, "s0")]
+    docs = [(i, " ".join(["w"] * (i % 13)), f"s{i % 4}" if i % 5 else None) for i in range(400)] + [(7, None, "s1"), (None, "a b", "s2"), *[(None, "n " * (i % 7), "s1") for i in range(60)], (3, "q q", "s3"), (3, "q q", "s3"), (900, "z " * 40_000, "s0")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("taken", F.lit("mine"))
     a = mixture.mix(df, keep=["doc_id", "source", "taken"]).toPandas()
     assert len(a) == len(docs) and set(a.in_taken) == {"mine"}
@@ -123,6 +181,22 @@ def test_fixity(spark):
     assert fixity.audit(a, b.limit(0)).count() == 5000
 
 
+def test_fixity_of_moved_null_and_repeated_records(spark):
+    def found(x, y):
+        frames = [spark.createDataFrame(v, "offset long, digest string") for v in (x, y)]
+        got = fixity.audit(*frames, leaf_bytes=1000, fanout=4).collect()
+        assert len(got) == len({r.offset for r in got})
+        return {r.offset: r.status for r in got}
+
+    own = [(0, "aa"), (100, "bb"), (200, "cc")]
+    assert found(own, [(0, "aa"), (150, "bb"), (250, "cc")]) == {100: "missing", 200: "missing", 150: "extra", 250: "extra"}
+    assert found(own, [*own, (300, None)]) == {300: "extra"}
+    assert found([*own, (300, None)], [*own, (300, None)]) == {}
+    assert found([*own, (300, None)], [*own, (300, "dd")]) == {300: "corrupt"}
+    assert found(own, [*own, (200, "cc")]) == {200: "corrupt"}
+    assert found([*own, (200, "x")], [*own, (200, "y")]) == {200: "corrupt"}
+
+
 def test_archive_offsets(spark):
     pages = spark.createDataFrame([(3, "u", "x"), (1, None, None), (None, "http://a", "é"), (3, "u", "x"), (2, "b", "y" * 200_000)], "page_id long, url string, html string").withColumn("offset", F.lit(1))
     m = fixity.manifest(fixity.store(pages)).orderBy("seq").collect()
