@@ -3,10 +3,15 @@
 Tokens are labelled from labelled documents: words and word beginnings that
 stand in toxic documents far more often than chance mark the tokens of toxic
 documents. The field has two tags; a token's emission is a bias plus the weights
-of its markers, and chains are stretches of at most CHAIN tokens of one text.
+of its markers, and a whole text is one chain.
 Forward-backward marginals say how likely each token is toxic; they aggregate to
 a document's score through a logistic regression, and runs of tokens that are
 likelier toxic than not are the offending spans.
+
+Many chains are computed at once: texts are cut into blocks of STEP tokens, each
+block's transfer matrix is built, messages go from block to block through these,
+and each block is then finished with the messages from both sides. In a text
+without markers a token's marginal follows from its distances to both ends alone.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ from sightline.llm.sample import fold, labelled
 #: The sample that the model is fitted on: rows of each label and bytes of text.
 MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 1500, 4500, 8 << 20
 PREFIXES = (4, 5, 6, 7, 8)
-CHAIN = 32
+STEP = 32
+ROUNDS = 80
 LEAST_GAIN = 10.0
 BLOCK_BYTES = 2 << 20
 MADE = ("score", "predicted", "spans")
@@ -55,40 +61,87 @@ def marks(w: tb.Words) -> np.ndarray:
     return out
 
 
-def _chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First tokens and lengths of the chains of texts with so many tokens."""
-    n = -(-counts // CHAIN)
-    doc = np.repeat(np.arange(len(counts)), n)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    off = np.cumsum(counts) - counts
-    return off[doc] + k * CHAIN, np.minimum(CHAIN, counts[doc] - k * CHAIN)
-
-
-def _forward_backward(e: np.ndarray, size: np.ndarray, t: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of tag 1, expected tag pairs and log partition of chains; e: (chains, CHAIN) emissions of tag 1."""
-    n, most = e.shape
-    pot = np.exp(np.clip(e, -30, 30))
-    m = np.exp(t)
-    alpha, scale = np.zeros((most, n, 2)), np.ones((most, n))
-    a = np.stack([np.ones(n), np.exp(start) * pot[:, 0]], 1)
-    for k in range(most):
-        if k:
-            a = alpha[k - 1] @ m
-            a[:, 1] *= pot[:, k]
-        s = a.sum(1)
-        scale[k], alpha[k] = s, a / s[:, None]
-    beta = np.ones((most, n, 2))
-    pairs = np.zeros((n, 2, 2))
-    for k in range(most - 2, -1, -1):
-        inner = (size > k + 1)[:, None]
-        b = beta[k + 1].copy()
-        b[:, 1] *= pot[:, k + 1]
-        beta[k] = np.where(inner, (b @ m.T) / scale[k + 1][:, None], 1.0)
-        pairs += np.where(inner[:, :, None], alpha[k][:, :, None] * m[None] * b[:, None, :] / scale[k + 1][:, None, None], 0.0)
-    p = alpha[:, :, 1] * beta[:, :, 1]
-    p = p / np.maximum(p + alpha[:, :, 0] * beta[:, :, 0], 1e-300)
-    inside = np.arange(most)[:, None] < size[None]
-    return (p * inside).T, pairs, (np.log(scale) * inside).sum(0)
+class Blocks:
+    """The blocks of at most `step` tokens of texts with so many tokens."""
+
+    def __init__(self, counts: np.ndarray, step: int = STEP):
+        n = -(-counts // step)
+        doc = np.repeat(np.arange(len(counts)), n)
+        k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        self.first = (np.cumsum(counts) - counts)[doc] + k * step
+        self.size = np.minimum(step, counts[doc] - k * step)
+        self.head = k == 0
+        self.step = step
+        order = np.argsort(k, kind="stable")
+        #: the second blocks of all texts that have one, the third ones, ...
+        self.levels = np.split(order, np.searchsorted(k[order], np.arange(1, int(n.max(initial=0)))))[1:]
+
+    def place(self, token: np.ndarray) -> np.ndarray:
+        """Where tokens stand in a (blocks, step) table."""
+        block = np.searchsorted(self.first, token, "right") - 1
+        return block * self.step + token - self.first[block]
+
+    def inside(self) -> np.ndarray:
+        return np.arange(self.step)[None] < self.size[:, None]
+
+
+def forward_backward(e: np.ndarray, blocks: Blocks, t: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of tag 1 (blocks, step), and the expected tag pairs of all chains; e: emissions of tag 1.
+
+    Messages are kept as the ratio of tag 1 to tag 0.
+    """
+    m00, m01, m10, m11 = np.exp(t).ravel()
+    pot = np.ascontiguousarray(np.exp(np.clip(e, -30, 30)).T)
+    step, n = pot.shape
+    head, begin, r_in, s_out = blocks.head, np.exp(start), np.zeros(n), np.ones(n)
+    if blocks.levels:
+        f00, f01 = np.where(head, 1.0, m00), np.where(head, begin, m01) * pot[0]
+        f10, f11 = np.where(head, 1.0, m10), np.where(head, begin, m11) * pot[0]
+        for j in range(1, step):
+            q00, q01 = f00 * m00 + f01 * m10, (f00 * m01 + f01 * m11) * pot[j]
+            q10, q11 = f10 * m00 + f11 * m10, (f10 * m01 + f11 * m11) * pot[j]
+            c = 1 / (q00 + q01 + q10 + q11)
+            live = blocks.size > j
+            f00, f01, f10, f11 = (np.where(live, q * c, f) for q, f in ((q00, f00), (q01, f01), (q10, f10), (q11, f11)))
+        for i in blocks.levels:
+            p = i - 1
+            r_in[i] = (f01[p] + r_in[p] * f11[p]) / (f00[p] + r_in[p] * f10[p])
+        for i in reversed(blocks.levels):
+            s_out[i - 1] = (f10[i] + f11[i] * s_out[i]) / (f00[i] + f01[i] * s_out[i])
+    r = np.empty((step, n))
+    r[0] = np.where(head, begin, (m01 + r_in * m11) / (m00 + r_in * m10)) * pot[0]
+    for j in range(1, step):
+        r[j] = pot[j] * (m01 + r[j - 1] * m11) / (m00 + r[j - 1] * m10)
+    p, pairs, s = np.empty((step, n)), np.zeros((2, 2)), s_out
+    for j in range(step - 1, -1, -1):
+        odds = r[j] * s
+        p[j] = odds / (1 + odds)
+        inside = blocks.size > j
+        ahead = pot[j] * s
+        pairs += _pairs(r[j - 1] if j else r_in, ahead, (m00, m01, m10, m11), inside if j else inside & ~head)
+        s = np.where(inside, (m10 + m11 * ahead) / (m00 + m01 * ahead), s)
+    return p.T, pairs
+
+
+def _pairs(before: np.ndarray, ahead: np.ndarray, m: tuple, weight: np.ndarray) -> np.ndarray:
+    """Expected tag pairs of neighbours: the ratio up to the first, potential and ratio from the second on."""
+    w = np.stack([np.full(len(before), m[0]), m[1] * ahead, m[2] * before, m[3] * before * ahead])
+    return (w @ (weight / w.sum(0))).reshape(2, 2)
+
+
+def plain_ratios(pot: float, t: np.ndarray, start: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of chains in which every token has one potential: the ratio at each distance from the start, and from the end."""
+    m00, m01, m10, m11 = np.exp(t).ravel().tolist()
+    ahead, back = np.empty(n), np.empty(n)
+    for out, x, step in ((ahead, float(np.exp(start)) * pot, lambda r: pot * (m01 + r * m11) / (m00 + r * m10)), (back, 1.0, lambda s: (m10 + m11 * pot * s) / (m00 + m01 * pot * s))):
+        for k in range(n):
+            out[k] = x
+            after = step(x)
+            if after == x:  # from here on nothing changes
+                out[k:] = x
+                break
+            x = after
+    return ahead, back
 
 
 class Field:
@@ -156,43 +209,56 @@ class Field:
         return row[ok], i[ok]
 
     def _fit(self, t: pa.Array, parts: list, y: np.ndarray) -> None:
-        rows, cols, labels, sizes, base = [], [], [], [], 0
+        rows, cols, labels, counts, plain, base = [], [], [], [], [], 0
         for a, b in parts:
             w = tokens(t.slice(a, b - a))
             row, col = self.active(w)
-            first, size = _chains(w.counts())
-            doc = w.doc_of()
-            chain = np.searchsorted(first, row, "right") - 1
-            # chains without a marker all look alike; every eighth is enough
-            keep = np.zeros(len(first), bool)
-            keep[chain] = True
-            keep[::8] = True
-            new = np.cumsum(keep) - 1
-            rows.append((base + new[chain]) * CHAIN + row - first[chain])
+            n, doc = w.counts(), w.doc_of()
+            marked, new = np.unique(doc[row], return_inverse=True)
+            off = np.cumsum(n[marked]) - n[marked]
+            at = base + off[new] + row - w.word_off[doc[row]]
+            rows.append(at)
             cols.append(col)
-            toxic = y[a:b][doc[row]] == 1
-            labels.append(rows[-1][toxic])
-            sizes.append(size[keep])
-            base += int(keep.sum())
-        row, col, size = np.concatenate(rows), np.concatenate(cols), np.concatenate(sizes)
-        tag = np.zeros(base * CHAIN, np.int8)
-        tag[np.concatenate(labels)] = 1
-        tag = tag.reshape(base, CHAIN)
-        inside = np.arange(CHAIN)[None] < size[:, None]
-        follow = inside[:, 1:]
-        seen = np.zeros((2, 2))
-        for i in (0, 1):
-            for j in (0, 1):
-                seen[i, j] = ((tag[:, :-1] == i) & (tag[:, 1:] == j) & follow).sum()
-        hit = tag.ravel()[row]
-        want = np.bincount(col, hit, len(self.markers))
+            labels.append(at[y[a:b][doc[row]] == 1])
+            counts.append(n[marked])
+            plain.append(np.delete(n, marked))
+            base += int(n[marked].sum())
+        col, blocks = np.concatenate(cols), Blocks(np.concatenate(counts))
+        size = len(blocks.first) * STEP
+        row = blocks.place(np.concatenate(rows)) if size else np.zeros(0, np.int64)
+        tag = np.zeros(size, np.int8)
+        tag[blocks.place(np.concatenate(labels)) if size else row] = 1
+        want = np.bincount(col, tag[row], len(self.markers))
+        inside = blocks.inside().ravel()
+        follow = inside.copy()
+        follow[np.flatnonzero(blocks.head) * STEP] = False
+        # a block is full wherever another of its text follows, so the token before stands one place before
+        before, here = tag[np.flatnonzero(follow) - 1], tag[follow]
+        seen = np.bincount(2 * before + here, minlength=4).reshape(2, 2).astype(float)
+        heads = np.flatnonzero(blocks.head) * STEP
+        # texts without markers differ in length only: one of each length, with its number as weight
+        length, often = np.unique(np.concatenate(plain), return_counts=True)
+        length, often = length[length > 0], often[length > 0]
+        seen[0, 0] += ((length - 1) * often).sum()
+        k = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        rest_of, weight = np.repeat(length, length) - 1 - k, np.repeat(often, length).astype(float)
         self.w, self.bias, self.t, self.start = np.zeros(len(self.markers)), -3.0, np.zeros((2, 2)), 0.0
         size_w, size_r = np.full(len(self.markers), 1e-6), np.full(6, 1e-6)
-        for _ in range(80):  # adaptive gradient ascent of the conditional log-likelihood
-            e = np.bincount(row, self.w[col], base * CHAIN).reshape(base, CHAIN) + self.bias
-            p, pairs, _z = _forward_backward(e, size, self.t, self.start)
-            g = want - np.bincount(col, p.ravel()[row], len(self.markers)) - 0.1 * self.w
-            rest = np.concatenate([[(tag * inside).sum() - p.sum(), tag[:, 0].sum() - p[:, 0].sum()], (seen - pairs.sum(0)).ravel()]) - 0.01 * np.concatenate([[self.bias, self.start], self.t.ravel()])
+        for _ in range(ROUNDS):  # adaptive gradient ascent of the conditional log-likelihood
+            e = (np.bincount(row, self.w[col], size) + self.bias).reshape(-1, STEP)
+            p, pairs = forward_backward(e, blocks, self.t, self.start) if size else (e, np.zeros((2, 2)))
+            p = np.where(inside, p.ravel(), 0.0)
+            total, first = p.sum(), p[heads].sum()
+            if len(length):
+                pot = float(np.exp(self.bias))
+                ahead, back = plain_ratios(pot, self.t, self.start, int(length[-1]))
+                odds = ahead[k] * back[rest_of]
+                q = odds / (1 + odds) * weight
+                total, first = total + q.sum(), first + q[k == 0].sum()
+                i = np.flatnonzero(k)
+                pairs = pairs + _pairs(ahead[k[i] - 1], pot * back[rest_of[i]], tuple(np.exp(self.t).ravel()), weight[i])
+            g = want - np.bincount(col, p[row], len(self.markers)) - 0.1 * self.w
+            rest = np.concatenate([[tag.sum() - total, tag[heads].sum() - first], (seen - pairs).ravel()]) - 0.01 * np.concatenate([[self.bias, self.start], self.t.ravel()])
             size_w += g * g
             size_r += rest * rest
             self.w += 0.6 * g / np.sqrt(size_w)
@@ -200,26 +266,29 @@ class Field:
             self.bias += step[0]
             self.start += step[1]
             self.t += step[2:].reshape(2, 2)
-        same = np.full((CHAIN, CHAIN), self.bias)
-        self.plain = _forward_backward(same, np.arange(1, CHAIN + 1), self.t, self.start)[0]
+        self._plain = plain_ratios(float(np.exp(self.bias)), self.t, self.start, 1 << 12)
 
     def marginals(self, w: tb.Words) -> np.ndarray:
-        """How likely each token is toxic. Chains without markers differ by length only."""
-        first, size = _chains(w.counts())
-        out = np.zeros(len(w))
-        if not len(first):
-            return out
+        """How likely each token is toxic, in its whole text."""
+        counts, doc = w.counts(), w.doc_of()
+        if not len(doc):
+            return np.zeros(0)
+        if len(self._plain[0]) < counts.max():
+            self._plain = plain_ratios(float(np.exp(self.bias)), self.t, self.start, int(counts.max()))
+        k = np.arange(len(w)) - w.word_off[doc]
+        odds = self._plain[0][k] * self._plain[1][counts[doc] - 1 - k]
+        out = odds / (1 + odds)
         row, col = self.active(w)
-        chain = np.searchsorted(first, row, "right") - 1
-        at = np.arange(len(w)) - np.repeat(first, size)
-        out[:] = self.plain[np.repeat(size, size) - 1, at]
-        live, new = np.unique(chain, return_inverse=True)
-        if len(live):
-            e = np.bincount(new * CHAIN + row - first[chain], self.w[col], len(live) * CHAIN).reshape(-1, CHAIN) + self.bias
-            p = _forward_backward(e, size[live], self.t, self.start)[0]
-            n = size[live]
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out[np.repeat(first[live], n) + inner] = p[np.repeat(np.arange(len(live)), n), inner]
+        marked, new = np.unique(doc[row], return_inverse=True)
+        if len(marked):
+            n = counts[marked]
+            blocks = Blocks(n)
+            at = blocks.place((np.cumsum(n) - n)[new] + row - w.word_off[doc[row]])
+            e = (np.bincount(at, self.w[col], len(blocks.first) * STEP) + self.bias).reshape(-1, STEP)
+            p, _ = forward_backward(e, blocks, self.t, self.start)
+            mine = np.zeros(len(counts), bool)
+            mine[marked] = True
+            out[mine[doc]] = p[blocks.inside()]
         return out
 
     def document_features(self, w: tb.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -261,11 +330,9 @@ class Field:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
     """A field from the labelled documents outside the held-out fold; None if one of the labels is missing."""
     allowed = fold(F.col("doc_id"), 5) != 0
-    texts, y = [], []
-    for value, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
-        a, b = labelled(docs, labels.where(F.col("toxic") == value), "toxic", allowed, id_col=id_col, text_col=text_col, most_rows=most, most_bytes=MOST_BYTES * most // (MOST_TOXIC + MOST_CLEAN))
-        texts += a
-        y += b
+    rows = MOST_TOXIC + MOST_CLEAN
+    most = {value: (n, MOST_BYTES * n // rows) for value, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))}
+    texts, y = labelled(docs, labels, "toxic", allowed, id_col=id_col, text_col=text_col, most=most)
     if len(set(y)) < 2:
         return None
     prior = labels.where(allowed & F.col("toxic").isNotNull()).agg(F.avg("toxic")).first()[0]
@@ -322,4 +389,4 @@ def score_toxicity(docs: DataFrame, model: Field | None, *, text_col: str = "tex
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "spans")

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sightline.llm import mixture, quality, simhash, substrings, toxicity
+from sightline.llm import mixture, quality, simhash, toxicity
+from sightline.llm.frames import written
 from sightline.llm.sample import fold, labelled
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_simhash import brute as fingerprint
@@ -33,7 +34,7 @@ def test_held_out_labels_are_never_read(spark, sf):
     flipped = labels.withColumn("quality", F.when(fold(F.col("doc_id"), 4) == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = quality.fit(docs, labels), quality.fit(docs, flipped)
     assert np.array_equal(a.w, b.w) and a.threshold == b.threshold
-    texts, y = labelled(docs, labels, "quality", fold(F.col("doc_id"), 4) != 2, most_rows=10, most_bytes=10_000)
+    texts, y = labelled(docs, labels, "quality", fold(F.col("doc_id"), 4) != 2, most={0: (5, 5000), 1: (5, 5000)})
     assert 0 < len(texts) <= 10 and len(texts) == len(y)
 
 
@@ -56,21 +57,71 @@ def test_spans(spark):
     assert "worthless" in found and "idiot" in found and "Été" not in found
 
 
-def test_forward_backward_against_enumeration():
-    rng = np.random.default_rng(0)
-    t, start, n = rng.normal(size=(2, 2)), 0.3, 5
-    e = np.zeros((1, toxicity.CHAIN))
-    e[0, :n] = rng.normal(size=n)
-    p, pairs, z = toxicity._forward_backward(e, np.array([n]), t, start)
-    total, want, both = 0.0, np.zeros(n), np.zeros((2, 2))
+def enumerated(e, t, start):
+    n, total, want, both = len(e), 0.0, np.zeros(len(e)), np.zeros((2, 2))
     for k in range(2**n):
         tags = [(k >> i) & 1 for i in range(n)]
-        s = np.exp(start * tags[0] + sum(e[0, i] for i in range(n) if tags[i]) + sum(t[a, b] for a, b in zip(tags, tags[1:], strict=False)))
+        s = np.exp(start * tags[0] + sum(e[i] for i in range(n) if tags[i]) + sum(t[a, b] for a, b in zip(tags, tags[1:], strict=False)))
         total += s
         want += s * np.array(tags)
         for a, b in zip(tags, tags[1:], strict=False):
             both[a, b] += s
-    assert np.allclose(p[0, :n], want / total) and np.allclose(pairs[0], both / total) and np.isclose(z[0], np.log(total))
+    return want / total, both / total
+
+
+def test_forward_backward_against_enumeration():
+    """Chains of several blocks, and chains in which all tokens look alike."""
+    rng = np.random.default_rng(0)
+    t, start, counts = rng.normal(size=(2, 2)), 0.3, np.array([5, 9, 1, 3, 8])
+    e = rng.normal(size=counts.sum())
+    off = np.cumsum(counts) - counts
+    want = [enumerated(e[o : o + n], t, start) for o, n in zip(off, counts, strict=True)]
+    for step in (3, 32):
+        b = toxicity.Blocks(counts, step)
+        table = np.zeros(len(b.first) * step)
+        table[b.place(np.arange(len(e)))] = e
+        p, pairs = toxicity.forward_backward(table.reshape(-1, step), b, t, start)
+        assert np.allclose(p[b.inside()], np.concatenate([w[0] for w in want]))
+        assert np.allclose(pairs, sum(w[1] for w in want))
+    ahead, back = toxicity.plain_ratios(np.exp(-0.7), t, start, 50)
+    for n in (1, 2, 7):
+        odds = ahead[:n] * back[:n][::-1]
+        assert np.allclose(odds / (1 + odds), enumerated(np.full(n, -0.7), t, start)[0])
+
+
+def test_whole_texts_are_one_chain(spark):
+    """The marginals of a long text equal those of one plain pass over all its tokens."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{BIG}/labels.parquet"))
+    text = " ".join(["the of it", "worthless idiot", "and so on " * 40, "idiot", "of " * 70] * 3)
+    w = toxicity.tokens(__import__("pyarrow").array([text, "of it", "", "idiot"]))
+    got = model.marginals(w)
+    row, col = model.active(w)
+    e = np.bincount(row, model.w[col], len(w)) + model.bias
+    for d in range(4):
+        x = e[w.word_off[d] : w.word_off[d + 1]]
+        m, a, alphas = np.exp(model.t), None, []
+        for v in x:
+            a = np.array([1.0, np.exp(model.start)]) if a is None else a @ m
+            a = a * [1, np.exp(v)]
+            a /= a.sum()
+            alphas.append(a)
+        b, want = np.ones(2), []
+        for k in range(len(x) - 1, -1, -1):
+            p = alphas[k] * b
+            want.append(p[1] / p.sum())
+            b = m @ (b * [1, np.exp(x[k])])
+            b /= b.sum()
+        assert np.allclose(got[w.word_off[d] : w.word_off[d + 1]], want[::-1], atol=1e-9)
+
+
+def test_sample_passes_over_a_long_text(spark):
+    docs = spark.createDataFrame([(i, "x" * (10_000 if i == 3 else 50)) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    texts, y = labelled(docs, labels, "toxic", F.lit(True), most={0: (20, 2000), 1: (20, 2000)})
+    assert len(texts) == 19 and max(map(len, texts)) == 50 and sum(y) == 9
 
 
 def test_pipeline(spark, sf):
@@ -81,7 +132,7 @@ def test_pipeline(spark, sf):
     now = docs
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         before = now.toPandas()
-        now = substrings.written(stage(spark, now, sf), "test")
+        now = written(stage(spark, now, sf), "test")
         after = now.toPandas()
         if k < 4:
             assert now.columns == docs.columns
@@ -104,3 +155,25 @@ def test_pipeline(spark, sf):
             assert sorted(zip(after.doc_id, after.taken, strict=True)) == sorted(zip(want.doc_id, want.taken, strict=True))
     assert corpus_pipeline.run(spark, sf).count() == now.count()
     assert simhash.keep_one(docs).count() <= docs.count()
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf, tmp_path):
+    """Nulls, repeated rows, empty and long texts, and columns named like what the operators make."""
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    own = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    rows = [(None, None, None, None, None), (None, "", "en", "a", 0), (7, "", None, None, None), (7, "a b " * 30_000, "en", "a", 120_000), (7, "a b " * 30_000, "en", "a", 120_000)]
+    from pyspark.sql import functions as F
+
+    odd = own.unionByName(spark.createDataFrame(rows, own.schema))
+    for c in ("id", "th", "marks", "root", "score", "in_score", "spans", "fingerprint", "text_hash", "__key", "__text", "taken", "size", "key", "part", "n_words", "c0", "k0", "d1"):
+        odd = odd.withColumn(c, F.lit(c))
+    now, left = odd, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
+        now = written(stage(spark, now, str(tmp_path)), "odd")
+        if k < 4:
+            assert now.columns == odd.columns
+            assert now.where("root <> 'root' or score <> 'score' or size <> 'size' or k0 <> 'k0'").isEmpty()
+        left.append(now.count())
+    assert left[4] > 0 and left == sorted(left, reverse=True)
