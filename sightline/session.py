@@ -27,13 +27,15 @@ def local_session(cpus: int | None = None, app: str = "sightline") -> SparkSessi
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one is set only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir; a local one is set only where that is unset and all runs on one machine."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="sightline-checkpoint-")
