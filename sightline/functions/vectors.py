@@ -190,6 +190,28 @@ def ray_triangle(origin: Column, direction: Column, a: Column, b: Column, c: Col
     return let(F.struct(sub(b, a).alias("e1"), sub(c, a).alias("e2"), sub(origin, a).alias("s"), direction.alias("d")), crossed)
 
 
+def segment_distance(p: Column, a: Column, b: Column) -> Column:
+    """Distance of a point from a segment in space."""
+
+    def from_line(k: Column) -> Column:
+        n = dot(k["d"], k["d"])
+        return length(sub(k["s"], mul(k["d"], F.when(n > 1e-18, clamp(dot(k["s"], k["d"]) / n, 0.0, 1.0)).otherwise(0.0))))
+
+    return let(F.struct(sub(b, a).alias("d"), sub(p, a).alias("s")), from_line)
+
+
+def triangle_distance(p: Column, a: Column, b: Column, c: Column) -> Column:
+    """Distance of a point from a triangle: to its plane where the foot lies inside, else to the nearest side."""
+
+    def inner(k: Column) -> Column:
+        nn = dot(k["n"], k["n"])
+        side = lambda u, v: dot(cross(sub(v, u), sub(p, u)), k["n"]) >= 0
+        return F.when((nn > 1e-18) & side(a, b) & side(b, c) & side(c, a), F.abs(dot(sub(p, a), k["n"])) / F.sqrt(nn))
+
+    plane = let(F.struct(cross(sub(b, a), sub(c, a)).alias("n")), inner)
+    return F.coalesce(plane, F.least(segment_distance(p, a, b), segment_distance(p, b, c), segment_distance(p, c, a)))
+
+
 def depth_to_millimetres(metres: Column, hit: Column) -> Column:
     """16-bit depth: millimetres up to 65535, 0 for background."""
     return F.when(hit, clamp(F.floor(metres * 1000 + 0.5), 0, 65535)).otherwise(F.lit(0)).cast("int")

@@ -58,25 +58,35 @@ def nearest_colour(pixels: DataFrame, legend: DataFrame, *, limit: float = 0.04)
     return near.select("id", F.when(F.col("m.d2") < limit, F.col("m.position") + 1).otherwise(F.lit(-1)).alias("value"))
 
 
-def nearest_hit(rays: DataFrame, triangles: DataFrame, *, cell: float, reach: float) -> DataFrame:
-    """The nearest triangle that each ray (ray, o, d) meets within reach: ray, tri, owner, t.
+def ray_hits(rays: DataFrame, triangles: DataFrame, *, cell: float, reach: float) -> DataFrame:
+    """Every triangle that each ray (ray, o, d) meets within reach, once: ray, tri, owner, t.
 
-    Triangles (tri, owner, a, b, c) go to the grid cells of their boxes, rays to the
-    cells they pass, at half-cell steps with the cells around; a pair found in
-    several cells is tested alike and the least t (ties: the lesser tri) wins.
+    A ray goes to the cells of its places at half-cell steps. Any hit is at most a
+    quarter of a cell from such a place, so triangles (tri, owner, a, b, c) go to the
+    cells of their boxes grown by that. A pair found in several cells is tested alike
+    and comes out once.
     """
     cells = lambda p: [F.floor(p[x] / cell).cast("long") for x in "xyz"]
-    lo = [F.floor(F.least(*[F.col(v)[x] for v in "abc"]) / cell).cast("long") for x in "xyz"]
-    hi = [F.floor(F.greatest(*[F.col(v)[x] for v in "abc"]) / cell).cast("long") for x in "xyz"]
-    t = triangles
-    for i, name in enumerate(("gx", "gy", "gz")):
-        t = t.withColumn(name, F.explode(F.sequence(lo[i], hi[i])))
+    t = _in_cells(triangles, cell, cell * 0.2501)
     steps = F.sequence(F.lit(0), F.lit(int(reach / (cell / 2)) + 1))
     at = lambda s: V.add(F.col("o"), V.mul(V.normalize(F.col("d")), s * (cell / 2)))
     passed = F.array_distinct(F.transform(steps, lambda s: F.struct(*[c.alias(n) for c, n in zip(cells(at(s)), ("gx", "gy", "gz"), strict=True)])))
-    near = lambda g: F.transform(_around("xyz"), lambda w: F.struct(*[(g[n] + w[f"o{i}"]).alias(n) for i, n in enumerate(("gx", "gy", "gz"))]))
-    r = rays.select("ray", "o", "d", F.explode(F.array_distinct(F.flatten(F.transform(passed, near)))).alias("g")).select("ray", "o", "d", "g.*")
+    r = rays.select("ray", "o", "d", F.explode(passed).alias("g")).select("ray", "o", "d", "g.*")
     hit = r.join(t.hint("merge"), ["gx", "gy", "gz"]).withColumn("t", V.ray_triangle(F.col("o"), V.normalize(F.col("d")), F.col("a"), F.col("b"), F.col("c"))).where(F.col("t") <= reach)
+    return hit.groupBy("ray", "tri", "owner").agg(F.min("t").alias("t"))
+
+
+def _in_cells(triangles: DataFrame, cell: float, margin: float) -> DataFrame:
+    """Triangles once for every grid cell gx, gy, gz that their boxes, grown by a margin, touch."""
+    for x, name in zip("xyz", ("gx", "gy", "gz"), strict=True):
+        lo, hi = F.least(*[F.col(v)[x] for v in "abc"]) - margin, F.greatest(*[F.col(v)[x] for v in "abc"]) + margin
+        triangles = triangles.withColumn(name, F.explode(F.sequence(F.floor(lo / cell).cast("long"), F.floor(hi / cell).cast("long"))))
+    return triangles
+
+
+def nearest_hit(rays: DataFrame, triangles: DataFrame, *, cell: float, reach: float) -> DataFrame:
+    """The nearest triangle that each ray (ray, o, d) meets within reach: ray, tri, owner, t; of equal distances the lesser tri wins."""
+    hit = ray_hits(rays, triangles, cell=cell, reach=reach)
     return hit.groupBy("ray").agg(F.min(F.struct("t", "tri", "owner")).alias("m")).select("ray", "m.tri", "m.owner", "m.t")
 
 
@@ -87,14 +97,25 @@ def visible(segments: DataFrame, triangles: DataFrame, *, cell: float, reach: fl
     return rays.join(hit, "ray", "left").select("ray", (F.col("t").isNull() | (F.col("t") >= F.col("far") - tolerance)).alias("visible"))
 
 
+def near_triangles(points: DataFrame, triangles: DataFrame, *, cell: float, radius: float) -> DataFrame:
+    """id, tri, owner, distance of the triangles within radius of each point (id, p).
+
+    A triangle goes to the cells of its box grown by the radius, a point to its own
+    cell, so each pair meets once.
+    """
+    own = points.select("id", "p", *[F.floor(F.col("p")[x] / cell).cast("long").alias(n) for x, n in zip("xyz", ("gx", "gy", "gz"), strict=True)])
+    pairs = own.join(_in_cells(triangles, cell, radius), ["gx", "gy", "gz"])
+    return pairs.select("id", "tri", "owner", V.triangle_distance(F.col("p"), F.col("a"), F.col("b"), F.col("c")).alias("distance")).where(F.col("distance") <= radius)
+
+
 def inside_solid(points: DataFrame, triangles: DataFrame, directions: Sequence[tuple[float, float, float]], *, cell: float, reach: float) -> DataFrame:
-    """Points (id, p) inside a closed mesh: an odd number of hits on most of the rays in the directions."""
-    rays = points.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), V.vec(*d).alias("d")) for i, d in enumerate(directions)])).alias("r"), F.col("p").alias("o")).select("id", "o", "r.k", "r.d")
-    pair = rays.join(triangles, F.lit(True)) if triangles.count() <= 4096 else None
-    if pair is None:
-        raise ValueError("parity wants a mesh of at most 4096 triangles; split it by object first")
-    odd = pair.withColumn("t", V.ray_triangle(F.col("o"), V.normalize(F.col("d")), F.col("a"), F.col("b"), F.col("c"))).groupBy("id", "k").agg((F.count("t") % 2 == 1).alias("odd"))
-    return odd.groupBy("id").agg((2 * F.count_if("odd") > len(directions)).alias("inside"))
+    """id, owner of the points (id, p) inside a closed mesh: an odd number of its triangles on most of the rays in the directions.
+
+    reach must be the mesh's longest extent at least. Each owner is a mesh of its own.
+    """
+    rays = points.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), V.vec(*d).alias("d")) for i, d in enumerate(directions)])).alias("r"), F.col("p").alias("o")).select(F.struct("id", "r.k").alias("ray"), "o", "r.d")
+    odd = ray_hits(rays, triangles, cell=cell, reach=reach).groupBy("ray", "owner").agg((F.count(F.lit(1)) % 2 == 1).alias("odd"))
+    return odd.where("odd").groupBy("ray.id", "owner").count().where(2 * F.col("count") > len(directions)).select("id", "owner")
 
 
 def adequate(views: DataFrame, *, target: str, pos: str, at: str, baseline: float = 0.12, degrees: float = 12.0) -> DataFrame:

@@ -40,8 +40,8 @@ def quads(s, d):
 
 
 def offsets(s, d):
-    lines = points(s, d).where("id % 8 = 0").select((F.col("id") % 96).alias("line"), "x", "y")
-    return M.first_clear_offset(lines, points(s, d).where("z > 4.8").select("x", "y"), [(0.0, 0.0), (0.1, 0.0), (-0.1, 0.0), (0.0, 0.1), (0.0, -0.1)], key="line", reach=0.2)
+    lines = points(s, d).select(F.floor(F.col("id") / 8).alias("line"), "x", "y")
+    return M.first_clear_offset(lines, points(s, d).where("z > 4.8").select("x", "y"), [(0.0, o * k * 0.15) for k in (1, 2, 3, 4) for o in (1, -1)], key="line", reach=0.2)
 
 
 QUERIES = {
@@ -73,7 +73,7 @@ SQL = {
     "c18_accepted_views": f"select sample, camera, round(distance, 6) as distance, round(incidence, 5) as incidence from {VIEWS}",
     "d19_update_coverage": f"with n as (select sample, count(*) as n from {VIEWS} group by 1) select id, coalesce(n, 0) as views, round(least(1.0::double, coalesce(n, 0) / 3.0::double), 9) as score, 'delta' as how from {POINTS} p left join n on n.sample = p.id",
     "d33_barycentric": f"select id, round(1 - x / 10 - y / 16, 9) as a, round(x / 10, 9) as b, round(y / 16, 9) as c from {POINTS}",
-    "f43_first_clear_offset": f"with p as (select distinct id % 96 as line, x, y from {POINTS} where id % 8 = 0), b as (select x, y from {POINTS} where z > 4.8), o(attempt, dx, dy) as (values (0, 0.0::double, 0.0::double), (1, 0.1, 0.0), (2, -0.1, 0.0), (3, 0.0, 0.1), (4, 0.0, -0.1)), hit as (select distinct line, attempt from p, o, b where (p.x + dx - b.x) ** 2 + (p.y + dy - b.y) ** 2 <= 0.2::double * 0.2::double) select line, (select min(attempt) from o where not exists (select 1 from hit h where h.line = l.line and h.attempt = o.attempt)) as attempt from (select distinct line from p) l",
+    "f43_first_clear_offset": f"with p as (select distinct id // 8 as line, x, y from {POINTS}), b as (select x, y from {POINTS} where z > 4.8), o(attempt, dx, dy) as (select k::int, 0.0::double, (case when k % 2 = 0 then 1 else -1 end) * (k // 2 + 1) * 0.15::double from range(8) r(k)), hit as (select distinct line, attempt from p, o, b where (p.x + dx - b.x) ** 2 + (p.y + dy - b.y) ** 2 <= 0.2::double * 0.2::double) select line, (select min(attempt) from o where not exists (select 1 from hit h where h.line = l.line and h.attempt = o.attempt)) as attempt from (select distinct line from p) l",
     "j13_materialize": "select -1 - r_regionkey as old, (select max(n_nationkey) from nation) + row_number() over (order by r_regionkey) as new from region",
     "k_quaternion_round_trip": "select p_partkey as id, round(sin(p_partkey / 50.0::double), 6) as sine from part",
 }

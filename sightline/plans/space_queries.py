@@ -38,16 +38,12 @@ def c1(s, d):
 
 
 def d18(s, d):
-    a = points(s, d)
-    b = a.where("id % 10 = 0")
-    pairs = S.radius_join(a, b, 1.5)
+    pairs = S.radius_join(points(s, d), points(s, d), 1.5).where("l_id <> r_id")
     return pairs.groupBy(F.col("l_id").alias("id")).agg(F.count(F.lit(1)).alias("views"), F.round(F.min("distance2"), 9).alias("nearest2"))
 
 
 def d9(s, d):
-    a = points(s, d)
-    b = points(s, d).where("id % 25 = 0")
-    return S.nearest(S.radius_join(a, b, 5.0, ("x", "y")), "l_id", ["distance2", F.desc("r_z"), "r_id"]).select(F.col("l_id").alias("id"), F.col("r_id").alias("nearest"), F.round("distance2", 9).alias("d2"))
+    return S.nearest(S.radius_join(points(s, d), points(s, d), 0.5, ("x", "y")).where("l_id <> r_id"), "l_id", ["distance2", F.desc("r_z"), "r_id"]).select(F.col("l_id").alias("id"), F.col("r_id").alias("nearest"), F.round("distance2", 9).alias("d2"))
 
 
 def d10(s, d):
@@ -133,7 +129,7 @@ SQL = {
     "c4_direction_bin": f"select {_BIN} as yaw, cast(round_even(asin(least(greatest(uz, -1), 1)) / radians(15), 0) as bigint) as pitch, count(*) as n from {UNIT} group by 1, 2",
     "c8_horizontal_clearance": "select l_partkey, least(min(l_quantity), 10.0) as clearance from lineitem group by 1",
     "c13_in_oriented_box": f"select id, abs((x - 5) * 0.8::double + (y - 5) * 0.6::double) <= 2 and abs((y - 5) * 0.8::double - (x - 5) * 0.6::double) <= 3 as inside from {POINTS}",
-    "c17_visible": f"select id as ray, not (x + 0.01 <= 4) as visible from {POINTS} where y < 1.9",
+    "c17_visible": f"select id as ray, not (x + 0.01 <= 4) as visible from {POINTS}",
     "c21_adequate": "with v as (select l_partkey, l_linenumber / 10.0::double as x, l_suppkey % 5 / 10.0::double as y, row_number() over () as i from lineitem) select l_partkey, coalesce(bool_or(ok), false) as adequate from (select a.l_partkey, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) >= 0.12 and acos(least(1, greatest(-1, (a.x * b.x + a.y * b.y + 1) / (sqrt(a.x * a.x + a.y * a.y + 1) * sqrt(b.x * b.x + b.y * b.y + 1))))) >= radians(12) as ok from v a join v b using (l_partkey)) group by 1",
     "c24_projection": f"select id, case when y - 1 > 1e-9 then round(800 * (x - 5) / (y - 1) + 320, 6) end as u, case when y - 1 > 1e-9 then round(800 * (2 - z) / (y - 1) + 240, 6) end as v, y - 1 > 1e-9 as valid from {POINTS}",
     "c27_intrinsics": "select p_partkey, round(f, 6) as fx, round(f / 1.25, 6) as fy, round(p_size * 20.0::double / 2, 6) as cx, 240.0::double as cy from (select *, case when p_size * 20.0::double >= 600 then p_size * 20.0::double * 24 / 36 else 600.0::double * 24 / 36 end as f from part)",
@@ -145,10 +141,10 @@ SQL = {
     "c22_exclusions": f"select id from {POINTS} where not (x between 2 and 4 and y between 1 and 3)",
     "b14_depth_millimetres": "select case when l_returnflag <> 'N' then least(greatest(floor(l_quantity * 1.75::double * 1000 + 0.5), 0), 65535)::int else 0 end as depth, count(*) as n from lineitem group by 1",
     "b15_normal_16bit": "select floor(least(greatest((l_discount * 20 - 1 + 1) / 2, 0), 1) * 65535 + 0.5)::int as code, count(*) as n from lineitem group by 1",
-    "d1_nearest_hit": f"select id as ray, case when x + 0.01 <= 4 then 'near' else 'far' end as owner, case when x + 0.01 <= 4 then 2.0::double else 5.0::double end as t from {POINTS} where y < 1.9 and z + 0.003 <= 6 and x + 0.01 <= 9",
-    "d9_nearest_cell": f"select id, nearest, round(d2, 9) as d2 from (select a.id, b.id as nearest, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 as d2, row_number() over (partition by a.id order by (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.z desc, b.id) as n from {POINTS} a, {POINTS} b where b.id % 25 = 0 and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 25) where n = 1",
+    "d1_nearest_hit": f"select id as ray, case when x + 0.01 <= 4 then 'near' else 'far' end as owner, case when x + 0.01 <= 4 then 2.0::double else 5.0::double end as t from {POINTS} where z + 0.003 <= 6 and x + 0.01 <= 9",
+    "d9_nearest_cell": f"select id, nearest, round(d2, 9) as d2 from (select a.id, b.id as nearest, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 as d2, row_number() over (partition by a.id order by (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.z desc, b.id) as n from {POINTS} a, {POINTS} b where b.id <> a.id and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.25) where n = 1",
     "d10_knn": "select q, r, rank, round(d2, 6) as d2 from (select q, r, d2, cast(row_number() over (partition by q order by d2, r) as int) as rank from (select a.vec_id as q, b.vec_id as r, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) as d2 from embeddings a, embeddings b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)) where rank <= 8",
-    "d18_radius_join": f"select a.id, count(*) as views, round(min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 9) as nearest2 from {POINTS} a, {POINTS} b where b.id % 10 = 0 and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 2.25 group by 1",
+    "d18_radius_join": f"select a.id, count(*) as views, round(min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 9) as nearest2 from {POINTS} a, {POINTS} b where b.id <> a.id and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 2.25 group by 1",
     "d22_nearest_colour": "with p as (select p_partkey as id, p_partkey % 11 / 10.0::double as r, p_size / 50.0::double as g, p_partkey % 7 / 6.0::double as b from part), q as (select n_nationkey as position, n_nationkey % 5 / 4.0::double as r, n_nationkey // 5 / 4.0::double as g, 0.5::double as b from nation), x as (select p.id, q.position, pow(p.r - q.r, 2) + pow(p.g - q.g, 2) + pow(p.b - q.b, 2) as d2 from p, q) select id, case when min(d2) < 0.04 then arg_min(position, (d2, position)) + 1 else -1 end as value from x group by 1",
     "d30_snapshot_diff": "select o_orderkey, case when k = 7 then 'added' when k = 3 then 'removed' else 'changed' end as change from (select o_orderkey, o_orderkey % 10 as k from orders) where k in (3, 5, 7)",
     "k_names": "select p_partkey, trim(regexp_replace(p_name || ' #/x', '[^A-Za-z0-9_.-]+', '_', 'g'), '_') as safe, trim(lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '-', 'g')), '-') as slug, 'frame_' || lpad(p_partkey::varchar, 6, '0') as stem, regexp_extract(p_brand, '([0-9]+)$', 1) as number from part",
