@@ -50,12 +50,21 @@ def knn_to_queries(queries: DataFrame, rows: DataFrame, *, query: str, row: str,
     return nearest(pairs, "q", ["d2", "r"], k).select("q", "r", "rank", F.round("d2", 6).alias("d2"))
 
 
+def with_nearest_colour(pixels: DataFrame, legend: DataFrame, *, limit: float = 0.04) -> DataFrame:
+    """pixels (r, g, b, ...) with value: the nearest legend entry's (position, r, g, b) place plus one where its squared distance is below the limit, the first of equals, else -1.
+
+    Distinct colours meet the legend in buckets as wide as the limit; no row is
+    broadcast, and repeated pixels each come out.
+    """
+    near = radius_join(pixels.select("r", "g", "b").distinct(), legend.select("position", "r", "g", "b"), limit**0.5, ("r", "g", "b")).where(F.col("distance2") < limit)
+    best = near.groupBy(*[F.col(f"l_{c}").alias(f"__{c}") for c in "rgb"]).agg((F.min(F.struct("distance2", F.col("r_position").alias("position")))["position"] + 1).alias("value"))
+    both = pixels.join(best, [F.col(c) == F.col(f"__{c}") for c in "rgb"], "left")
+    return both.select(*pixels.columns, F.coalesce("value", F.lit(-1)).alias("value"))
+
+
 def nearest_colour(pixels: DataFrame, legend: DataFrame, *, limit: float = 0.04) -> DataFrame:
-    """Each pixel's (id, r, g, b) nearest legend entry (position, r, g, b), first on ties; position + 1 below the limit, else -1."""
-    p, q = pixels.alias("p"), F.broadcast(legend).alias("q")
-    d2 = sum((F.pow(F.col(f"p.{c}") - F.col(f"q.{c}"), 2) for c in "gb"), F.pow(F.col("p.r") - F.col("q.r"), 2))
-    near = p.join(q, F.lit(True)).groupBy("p.id").agg(F.min(F.struct(d2.alias("d2"), F.col("q.position").alias("position"))).alias("m"))
-    return near.select("id", F.when(F.col("m.d2") < limit, F.col("m.position") + 1).otherwise(F.lit(-1)).alias("value"))
+    """(id, value) of with_nearest_colour, a row for each pixel (id, r, g, b)."""
+    return with_nearest_colour(pixels, legend, limit=limit).select("id", "value")
 
 
 def ray_hits(rays: DataFrame, triangles: DataFrame, *, cell: float, reach: float) -> DataFrame:
