@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.plans import coverage_queries, graph_queries, mesh_queries, path_queries, space_queries, table_queries
+from sightline.plans import camera_queries, coverage_queries, graph_queries, mesh_queries, path_queries, pixel_queries, planning_queries, space_queries, table_queries, volume_queries
 
-_MODULES = (coverage_queries, space_queries, path_queries, graph_queries, table_queries, mesh_queries)
+_MODULES = (coverage_queries, space_queries, path_queries, graph_queries, table_queries, mesh_queries, camera_queries, volume_queries, pixel_queries, planning_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
