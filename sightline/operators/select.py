@@ -136,31 +136,6 @@ def diverse_sequence(rows: DataFrame, *, group: str, order: Sequence[str], axes:
     return rows.groupBy(group).applyInPandas(run, rows.schema)
 
 
-def greedy_chain(edges: DataFrame, nodes: DataFrame, *, group: str) -> DataFrame:
-    """An order of each group's nodes (group, id, x, y): start at the least id, go on to the unvisited one with the best .6 ratio + .4 nearness, ties by id."""
-    n = nodes.select(group, "id", "x", "y").groupBy(group).agg(F.collect_list(F.struct("id", "x", "y")).alias("nodes"))
-    e = edges.join(nodes.select(group, F.col("id").alias("a")), "a").groupBy(group).agg(F.collect_list(F.struct("a", "b", "ratio")).alias("edges"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            place = {v["id"]: (v["x"], v["y"]) for v in r["nodes"]}
-            ratio = {(min(v["a"], v["b"]), max(v["a"], v["b"])): v["ratio"] for v in (r["edges"] if r["edges"] is not None else [])}
-            at = min(place)
-            left = sorted(set(place) - {at})
-            seq = [at]
-            while left:
-                score = lambda k: .6 * ratio.get((min(at, k), max(at, k)), 0.0) + .4 / (1 + np.hypot(place[at][0] - place[k][0], place[at][1] - place[k][1]))  # noqa: B023, E731, E501
-                at = max(left, key=lambda k: (score(k), -k))
-                left.remove(at)
-                seq.append(at)
-            out += [(r[group], k, i) for i, k in enumerate(seq)]
-        return pd.DataFrame(out, columns=[group, "id", "place"])
-
-    kind = dict(nodes.dtypes)
-    return n.join(e, group, "left").groupBy(group).applyInPandas(run, f"{group} {kind[group]}, id {kind['id']}, place int")
-
-
 def ring_origins(regions: DataFrame, *, radii: Sequence[float], angles: int, heights: Sequence[float]) -> DataFrame:
     """Candidate origins on rings around each region's centre (region, x, y, z)."""
     steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(k).alias("k"), F.lit(h).alias("h")) for r in radii for k in range(angles) for h in heights])

@@ -225,3 +225,74 @@ def test_progress_and_gate(spark, tmp_path):
     resume.gate(spark.createDataFrame([], "message string"))
     with pytest.raises(ValueError, match="a; b; c; d; e; and more"):
         resume.gate(spark.createDataFrame([(x,) for x in "fedcba"], "message string"))
+
+
+def test_affinity_chain(spark):
+    """The chain by overlap, nearness and continuity against a plain loop."""
+    from sightline.operators import candidates
+
+    rnd = random.Random(3)
+    nodes = [(k % 2, k, rnd.randint(0, 9), 0.7, rnd.random() * 3, rnd.random() * 3, 0.0, math.cos(a := rnd.random()), 0.0, 0.0, math.sin(a)) for k in range(16)]
+    edges = [(a, b, round(rnd.random(), 3)) for a in range(16) for b in range(a) if rnd.random() < 0.4]
+    n = spark.createDataFrame(nodes, "g int, id int, along int, step double, x double, y double, z double, qw double, qx double, qy double, qz double")
+    e = spark.createDataFrame(edges, "a int, b int, ratio double")
+    ratio = {frozenset(x[:2]): x[2] for x in edges}
+    for g in (0, 1):
+        own = {x[1]: x for x in nodes if x[0] == g}
+        at = min(own, key=lambda k: (own[k][2], k))
+        want, left = [at], set(own) - {at}
+        while left:
+            def key(k, at=at):
+                r, d = ratio.get(frozenset((at, k)), 0.0), math.dist(own[at][4:7], own[k][4:7])
+                q = abs(sum(a * b for a, b in zip(own[at][7:], own[k][7:], strict=True)))
+                return (round(0.5 * r + 0.3 / (1 + d / 0.7) + 0.2 * (1 - 2 * math.acos(min(1, q)) / math.pi), 12), r, -d, k)
+
+            at = max(left, key=key)
+            left.discard(at)
+            want.append(at)
+        got = [r.id for r in candidates.affinity_chain(n, e, group="g").where(F.col("g") == g).orderBy("position").collect()]
+        assert got == want
+
+
+def test_spaced_top_and_doorways(spark):
+    from sightline.operators import candidates
+
+    rnd = random.Random(5)
+    rows = [(k % 3, k, rnd.random() * 4, rnd.random() * 4, rnd.randint(0, 5)) for k in range(120)]
+    df = spark.createDataFrame(rows, "g int, id int, x double, y double, s int")
+    got = sorted((r.g, r.id) for r in candidates.spaced_top(df, group="g", order=[F.desc("s"), "id"], axes=["x", "y"], apart=1.0, most=6).collect())
+    want = []
+    for g in range(3):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[4], r[1])):
+            if len(kept) < 6 and all(math.dist(r[2:4], k[2:4]) >= 1.0 for k in kept):
+                kept.append(r)
+        want += [(g, r[1]) for r in kept]
+    assert got == sorted(want)
+    doors = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 0.0)], "id int, x double, y double, dx double, dy double")
+    cells = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.3, 0.0)], "id int, x double, y double")
+    served = [(r.tier, r.cell) for r in candidates.doorway_origins(doors, cells, tiers=((0, 0), (0.05, 0), (0.1, 0)), reach=1.0).orderBy("tier").collect()]
+    assert served == [(0, 1), (1, 2)]
+
+
+def test_detail_counts(spark):
+    from sightline.operators import candidates
+
+    def counts(rows):
+        df = spark.createDataFrame([(k, b, m, 1.0, 0.0, float(k), 0.0, 0.0) for k, (b, m) in enumerate(rows)], "id int, b int, m int, len double, gain double, x double, y double, z double")
+        return [r.n for r in candidates.detail_counts(df, base="b", minimum="m", length="len", gain="gain", key="id").orderBy("id").collect()]
+
+    assert counts([(4, 1), (2, 1)]) == [4, 2]
+    assert counts([(9, 1), (0, 3), (3, 2)]) == [6, 3, 3]
+    assert counts([(2, 5), (0, 5), (0, 1)]) == [1, 0, 1] and sum(counts([(5, 4), (1, 4), (0, 1)])) == 6
+
+
+def test_repaired_neighbours(spark):
+    from sightline.operators import candidates
+
+    groups = spark.createDataFrame([(0, "a0", 5, True, 0.0), (0, "a1", 5, False, 0.1), (1, "b0", 5, True, 0.0), (2, "c0", 5, True, 0.0)], "origin int, candidate string, observations int, is_base boolean, pitch double")
+    links = [("a1", "b0"), ("a1", "c0"), ("b0", "c0")]
+    edges = spark.createDataFrame([(a, b, 0.5) for x, y in links for a, b in ((x, y), (y, x))], "a string, b string, ratio double")
+    first = groups.where("is_base").select("origin", "candidate")
+    got = {r.origin: r.candidate for r in candidates.repaired_neighbours(first, groups, edges, strong=0.3).collect()}
+    assert got == {0: "a1", 1: "b0", 2: "c0"}
