@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ def vec(x, y, z) -> Column:
     return F.struct(*[(v if isinstance(v, Column) else F.lit(float(v))).cast("double").alias(n) for v, n in ((x, "x"), (y, "y"), (z, "z"))])
 
 
+def fixed(points) -> Column:
+    """Given points as an array of vectors: one literal, however many they are."""
+    return F.from_json(F.lit(json.dumps([dict(zip("xyz", map(float, p), strict=True)) for p in points])), "array<struct<x:double,y:double,z:double>>")
+
+
 def add(a: Column, b: Column) -> Column:
     return vec(a["x"] + b["x"], a["y"] + b["y"], a["z"] + b["z"])
 

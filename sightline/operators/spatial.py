@@ -75,13 +75,13 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, *, cell: float, reach: float
     cells of their boxes grown by that. A pair found in several cells is tested alike
     and comes out once.
     """
-    cells = lambda p: [F.floor(p[x] / cell).cast("long") for x in "xyz"]
     t = _in_cells(triangles, cell, cell * 0.2501)
+    r = rays.select("ray", "o", V.normalize(F.col("d")).alias("u"))
     steps = F.sequence(F.lit(0), F.lit(int(reach / (cell / 2)) + 1))
-    at = lambda s: V.add(F.col("o"), V.mul(V.normalize(F.col("d")), s * (cell / 2)))
-    passed = F.array_distinct(F.transform(steps, lambda s: F.struct(*[c.alias(n) for c, n in zip(cells(at(s)), ("gx", "gy", "gz"), strict=True)])))
-    r = rays.select("ray", "o", "d", F.explode(passed).alias("g")).select("ray", "o", "d", "g.*")
-    hit = r.join(t.hint("merge"), ["gx", "gy", "gz"]).withColumn("t", V.ray_triangle(F.col("o"), V.normalize(F.col("d")), F.col("a"), F.col("b"), F.col("c"))).where(F.col("t") <= reach)
+    at = lambda s, x: F.floor((F.col("o")[x] + F.col("u")[x] * (s * (cell / 2))) / cell).cast("long")
+    passed = F.array_distinct(F.transform(steps, lambda s: F.struct(*[at(s, x).alias(f"g{x}") for x in "xyz"])))
+    r = r.select("ray", "o", "u", F.explode(passed).alias("g")).select("ray", "o", "u", "g.*")
+    hit = r.join(t.hint("merge"), ["gx", "gy", "gz"]).withColumn("t", V.ray_triangle(F.col("o"), F.col("u"), F.col("a"), F.col("b"), F.col("c"))).where(F.col("t") <= reach)
     return hit.groupBy("ray", "tri", "owner").agg(F.min("t").alias("t"))
 
 
@@ -122,7 +122,7 @@ def inside_solid(points: DataFrame, triangles: DataFrame, directions: Sequence[t
 
     reach must be the mesh's longest extent at least. Each owner is a mesh of its own.
     """
-    rays = points.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), V.vec(*d).alias("d")) for i, d in enumerate(directions)])).alias("r"), F.col("p").alias("o")).select(F.struct("id", "r.k").alias("ray"), "o", "r.d")
+    rays = points.select("id", F.posexplode(V.fixed(directions)).alias("k", "d"), F.col("p").alias("o")).select(F.struct("id", "k").alias("ray"), "o", "d")
     odd = ray_hits(rays, triangles, cell=cell, reach=reach).groupBy("ray", "owner").agg((F.count(F.lit(1)) % 2 == 1).alias("odd"))
     return odd.where("odd").groupBy("ray.id", "owner").count().where(2 * F.col("count") > len(directions)).select("id", "owner")
 

@@ -6,6 +6,7 @@ join of spatial.py with an aggregate behind it; nothing meets everything else.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -105,7 +106,7 @@ def free_width(points: DataFrame, triangles: DataFrame, axis: str, *, cell: floa
 
 def nearest_surface(points: DataFrame, triangles: DataFrame, directions: Sequence[tuple[float, float, float]], *, cell: float, search: float) -> DataFrame:
     """id, nearest, open: the least distance over the directions, and the number of the most open one (the first of equals); nothing hit counts as the search distance."""
-    fan = points.select("id", "p", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), V.vec(*d).alias("d")) for i, d in enumerate(directions)])).alias("f")).select("id", "p", "f.k", "f.d")
+    fan = points.select("id", "p", F.posexplode(V.fixed(directions)).alias("k", "d"))
     hit = nearest_hit(fan.select(F.struct("id", "k").alias("ray"), F.col("p").alias("o"), "d"), triangles, cell=cell, reach=search).select("ray.id", "ray.k", "t")
     all_ = fan.join(hit, ["id", "k"], "left").withColumn("t", F.coalesce("t", F.lit(float(search))))
     return all_.groupBy("id").agg(F.min("t").alias("nearest"), F.max(F.struct(F.round("t", 9).alias("t"), (-F.col("k")).alias("k"))).alias("m")).select("id", "nearest", (-F.col("m.k")).alias("open"))
@@ -207,7 +208,7 @@ def pushed_out(cameras: DataFrame, triangles: DataFrame, *, cell: float, clearan
     from sightline.session import cut
 
     ways = ball_directions()
-    fan = F.array(*[V.vec(*d) for d in ways])
+    fan = V.fixed(ways)
     now = cameras.select("id", "p", F.lit(0).alias("pushes"), F.lit(False).alias("done"))
     for _ in range(rounds + 1):
         found = nearest_surface(now.where("not done"), triangles, ways, cell=cell, search=search)
@@ -222,6 +223,7 @@ def pushed_out(cameras: DataFrame, triangles: DataFrame, *, cell: float, clearan
 
 def wall(owner: Column, low: Column, high: Column) -> Column:
     """The twelve triangles of a box between two corners, as structs (owner, a, b, c), facing out."""
-    corner = lambda i: V.vec(*[(high if i >> k & 1 else low)[c] for k, c in enumerate("xyz")])
     quads = ((0, 2, 3, 1), (4, 5, 7, 6), (0, 1, 5, 4), (2, 6, 7, 3), (0, 4, 6, 2), (1, 3, 7, 5))
-    return F.array(*[F.struct(owner.alias("owner"), corner(q[0]).alias("a"), corner(q[i]).alias("b"), corner(q[i + 1]).alias("c")) for q in quads for i in (1, 2)])
+    tris = F.from_json(F.lit(json.dumps([[q[0], q[i], q[i + 1]] for q in quads for i in (1, 2)])), "array<array<int>>")
+    corner = lambda i: V.vec(*[F.when(F.shiftright(i, k).bitwiseAND(1) == 1, high[c]).otherwise(low[c]) for k, c in enumerate("xyz")])
+    return F.transform(tris, lambda q: F.struct(owner.alias("owner"), *[corner(q[k]).alias(n) for k, n in enumerate("abc")]))
