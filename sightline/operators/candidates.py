@@ -82,7 +82,7 @@ def path_origins(regions: DataFrame, points: DataFrame, *, radius: float, most:
     w = Window.partitionBy("l_region")
     r = pairs.withColumn("far", F.round(far, 9)).withColumn("k", F.row_number().over(w.orderBy("far", "r_x", "r_y", "r_z")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (F.col("n") - 1) / float(most - 1)).cast("int"))
-    return r.where((F.col("n") <= most) | F.array_contains(wanted, F.col("k").cast("int"))).select(F.col("l_region").alias("region"), F.col("k").alias("rank"), F.col("r_x").alias("x"), F.col("r_y").alias("y"), F.col("r_z").alias("z"))
+    return r.where((F.col("n") <= most) | F.array_contains(wanted, F.col("k").cast("int"))).select(F.col("l_region").alias("region"), F.col("k").cast("long").alias("rank"), F.col("r_x").alias("x"), F.col("r_y").alias("y"), F.col("r_z").alias("z"))
 
 
 def patch_groups(origins: DataFrame, existing: DataFrame, centres: DataFrame, *, apart: float = 0.05, tolerance: float = 0.005, polar: bool = True) -> DataFrame:

@@ -95,7 +95,7 @@ QUERIES = {
     "g34_walkable_plan": plan,
     "h21_covering_lanes": lambda s, d: P.cover_by_lanes(spaces(s, d), P.row_lanes(spaces(s, d), region="region", grid=1.0), region="region", lane="lane", radius=0.75, target=0.9).groupBy("region").agg(F.count(F.lit(1)).alias("lanes"), F.sum("gain").alias("cells")),
     "h20_room_lanes": lambda s, d: P.cover_by_lanes(spaces(s, d), P.row_lanes(spaces(s, d), region="region", grid=1.0), region="region", lane="lane", radius=1.1, target=0.5, least=2).groupBy("region").agg(F.count(F.lit(1)).alias("lanes"), F.sum("gain").alias("cells")),
-    "h24_row_lanes": lambda s, d: P.row_lanes(spaces(s, d), region="region", grid=1.0).select("region", "lane", "ax", "bx", "ay", "cells", "edge_rank"),
+    "h24_row_lanes": lambda s, d: P.row_lanes(spaces(s, d), region="region", grid=1.0).select("region", F.col("lane").cast("long").alias("lane"), "ax", "bx", "ay", "cells", F.col("edge_rank").cast("long").alias("edge_rank")),
     "h25_even_lanes": lambda s, d: P.evenly_spaced_lanes(spaces(s, d), region="region", count=3),
 }
 
