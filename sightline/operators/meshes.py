@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import vectors as V
-from sightline.operators.spatial import radius_join
+from sightline.operators.order import placed
+from sightline.operators.quota import systematic_sample
+from sightline.operators.spatial import near_triangles, radius_join
 
 
 def triangles(faces: DataFrame, vertices: DataFrame, least_area: float = 1e-12) -> DataFrame:
@@ -76,4 +78,46 @@ def first_clear_offset(points: DataFrame, blocked: DataFrame, offsets: list[tupl
 def materialize(table: DataFrame, pending: DataFrame, id: str) -> DataFrame:
     """(old, new) ids: pending rows with negative ids get dense ids behind the table's greatest, in the order they came (-1, -2, ...)."""
     top = table.agg(F.coalesce(F.max(id), F.lit(-1)).alias("top"))
-    return pending.withColumn("__n", F.row_number().over(Window.orderBy(F.desc(id)))).join(F.broadcast(top)).select(F.col(id).alias("old"), (F.col("top") + F.col("__n")).alias("new"))
+    return placed(pending.select(id), [F.desc(id)]).crossJoin(F.broadcast(top)).select(F.col(id).alias("old"), (F.col("top") + F.col("place")).alias("new"))
+
+
+def unit(column: Column, salt: int) -> Column:
+    """A number in [0, 1) that depends on the column's value and a salt alone."""
+    return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1 << 52)) / float(1 << 52)
+
+
+def sampled_parts(tris: DataFrame, counts: DataFrame, *, seed: int = 0, curvature: float = 0.0, texture: float = 0.0, first_id: int = 0) -> DataFrame:
+    """part, sample, triangle, material, p, normal, u, v, spacing: each part's count of points on its triangles, by weight.
+
+    tris (part, tri, material, a, b, c: corners; na, nb, nc: their normals; ua, va, ub, vb,
+    uc, vc; area; variation: of the texture's colours), counts (part, n). A triangle's weight is its area, more
+    where its normals differ or its colours do. Points fall by even marks on the running weight and
+    lie on the triangle by two hashed numbers, so a rerun gives the same ones. Triangle ids go on from first_id.
+    """
+    mean = lambda x: (F.col("na")[x] + F.col("nb")[x] + F.col("nc")[x]) / 3
+    along = lambda n: F.abs(F.col(n)["x"] * mean("x") + F.col(n)["y"] * mean("y") + F.col(n)["z"] * mean("z"))
+    bend = 1 - V.clamp((along("na") + along("nb") + along("nc")) / 3, 0.0, 1.0)
+    weight = F.col("area") * (1 + max(0.0, curvature) * bend) * (1 + max(0.0, texture) * F.greatest(F.coalesce(F.col("variation"), F.lit(0.0)), F.lit(0.0)))
+    w = tris.join(counts.select("part", F.col("n").alias("__count")), "part").withColumn("__w", weight)
+    got = systematic_sample(w, weight="__w", order=["tri"], count="__count", within=["part"]).where("taken > 0")
+    s = got.withColumn("sample", F.explode(F.sequence(F.lit(1), F.col("taken")))).withColumn("__key", F.struct("part", "tri", "sample"))
+    root, second = F.sqrt(unit(F.col("__key"), 2 * seed)), unit(F.col("__key"), 2 * seed + 1)
+    s = s.withColumn("__k", F.struct((1 - root).alias("a"), (root * (1 - second)).alias("b"), (root * second).alias("c")))
+    k = F.col("__k")
+    blend = lambda names: V.add(V.mul(F.col(names[0]), k["a"]), V.add(V.mul(F.col(names[1]), k["b"]), V.mul(F.col(names[2]), k["c"])))
+    number = lambda n: k["a"] * F.col(f"{n}a") + k["b"] * F.col(f"{n}b") + k["c"] * F.col(f"{n}c")
+    return s.select("part", "sample", (F.col("tri") + first_id).alias("triangle"), "material", blend(("a", "b", "c")).alias("p"), V.normalize(blend(("na", "nb", "nc"))).alias("normal"), number("u").alias("u"), number("v").alias("v"), F.sqrt(F.col("area") / F.col("taken")).alias("spacing"))
+
+
+def reconciled(targets: DataFrame, triangles_: DataFrame, *, cell: float, reach: float) -> DataFrame:
+    """targets (id, p, score) with a score, and whether it is weak (below 0.999): those that have one keep it and are never looked up; others take the corner scores (va, vb, vc) of the nearest triangle (tri, owner, a, b, c) within reach, mixed at the place on it, ties by the lesser tri; null where none is near."""
+    from sightline.operators.spatial import barycentric
+
+    open_ = targets.where("score is null").select("id", "p")
+    near = near_triangles(open_, triangles_.select("tri", "owner", "a", "b", "c"), cell=cell, radius=reach)
+    best = near.groupBy("id").agg(F.min(F.struct("distance", "tri")).alias("m")).select("id", F.col("m.tri").alias("tri"))
+    on = best.join(open_, "id").join(triangles_.select("tri", "a", "b", "c", "va", "vb", "vc"), "tri")
+    w = V.let(barycentric(F.col("p"), F.col("a"), F.col("b"), F.col("c")), lambda k: F.struct(*[F.greatest(k[x], F.lit(0.0)).alias(x) for x in "abc"]))
+    found = on.withColumn("w", w).select("id", (interpolate(F.col("w"), F.col("va"), F.col("vb"), F.col("vc")) / (F.col("w.a") + F.col("w.b") + F.col("w.c"))).alias("__s"))
+    out = targets.join(found, "id", "left").withColumn("score", F.coalesce("score", "__s"))
+    return out.select("id", "p", "score", (F.col("score") < 0.999).alias("weak"))

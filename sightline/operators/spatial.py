@@ -38,16 +38,24 @@ def nearest(pairs: DataFrame, key: str, order: Sequence[Column | str], k: int =
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_to_queries(queries: DataFrame, rows: DataFrame, *, query: str, row: str, vector: str, k: int) -> DataFrame:
-    """The k rows nearest to each of a small, stated set of queries, ties by row id.
+def knn_to_queries(queries: DataFrame, rows: DataFrame, *, query: str, row: str, vector: str, k: int, block: int = 20_000) -> DataFrame:
+    """The k rows nearest to each of a stated set of queries, ties by row id.
 
-    Queries are sent to all rows' partitions (their number is checked by the caller);
-    each partition's rows are reduced to a top k per query by a bounded aggregate.
+    Queries are counted and sent to all rows' partitions in blocks of about `block`, by
+    a hash of their id, so what is broadcast at once doesn't grow with their number; a
+    block costs one pass over the rows. Each partition's rows are cut to a top k a
+    query before they meet.
     """
-    q = F.broadcast(queries.select(F.col(query).alias("q"), F.col(vector).alias("qv")))
+    q = queries.select(F.col(query).alias("q"), F.col(vector).alias("qv"))
+    blocks = max(1, -(-q.count() // block))
     d2 = F.aggregate(F.zip_with("qv", F.col(vector), lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    pairs = rows.select(F.col(row).alias("r"), F.col(vector)).join(q, F.col("q") != F.col("r")).select("q", "r", d2.alias("d2"))
-    return nearest(pairs, "q", ["d2", "r"], k).select("q", "r", "rank", F.round("d2", 6).alias("d2"))
+    out = None
+    for b in range(blocks):
+        own = F.broadcast(q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else q)
+        pairs = rows.select(F.col(row).alias("r"), F.col(vector)).join(own, F.col("q") != F.col("r")).select("q", "r", d2.alias("d2"))
+        best = nearest(pairs, "q", ["d2", "r"], k).select("q", "r", "rank", F.round("d2", 6).alias("d2"))
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def with_nearest_colour(pixels: DataFrame, legend: DataFrame, *, limit: float = 0.04) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.order import placed
+
 
 def _conditions(rules: Mapping[str, Column | str]) -> dict[str, Column]:
     return {n: F.expr(c) if isinstance(c, str) else c for n, c in rules.items()}
@@ -41,14 +43,14 @@ def stable_ids(names: DataFrame, known: DataFrame, name: str, id: str) -> DataFr
     old = known.groupBy(name).agg(F.min(id).alias("old"))
     top = known.agg(F.coalesce(F.max(id), F.lit(0)).alias("top"))
     j = names.select(name).distinct().join(old, name, "left")
-    fresh = j.where("old is null").withColumn("n", F.row_number().over(Window.orderBy(name))).crossJoin(F.broadcast(top)).select(name, (F.col("top") + F.col("n")).cast("long").alias(id))
+    fresh = placed(j.where("old is null").select(name), [name]).crossJoin(F.broadcast(top)).select(name, (F.col("top") + F.col("place")).cast("long").alias(id))
     return j.where("old is not null").select(name, F.col("old").cast("long").alias(id)).unionByName(fresh)
 
 
 def append_with_ids(old: DataFrame, new: DataFrame, id: str, order: Sequence[str]) -> DataFrame:
     """old and, behind it, new with ids that go on from the greatest."""
     top = old.agg(F.coalesce(F.max(id), F.lit(-1)).alias("top"))
-    numbered = new.withColumn("__n", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(top)).withColumn(id, (F.col("top") + F.col("__n")).cast(dict(old.dtypes)[id])).drop("__n", "top")
+    numbered = placed(new, order).crossJoin(F.broadcast(top)).withColumn(id, (F.col("top") + F.col("place")).cast(dict(old.dtypes)[id]))
     return old.unionByName(numbered.select(*old.columns))
 
 
@@ -105,3 +107,14 @@ def image_kind(content: Column) -> Column:
 def last_operations(log: DataFrame, key: str, order: str, keep: int = 50) -> DataFrame:
     """The last `keep` operations of each key, as an undo log holds them."""
     return log.withColumn("depth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("depth") <= keep)
+
+
+def finished_stroke(history: DataFrame, before: DataFrame, after: DataFrame, *, id: str = "id", keep: int = 50) -> DataFrame:
+    """history (stroke, id, added) with what a stroke changed between two selections, as its newest; only the last `keep` strokes stay. A stroke that changed nothing leaves no trace."""
+    a, b = before.select(id).distinct(), after.select(id).distinct()
+    change = b.join(a, id, "left_anti").withColumn("added", F.lit(True)).unionByName(a.join(b, id, "left_anti").withColumn("added", F.lit(False)))
+    top = history.agg(F.coalesce(F.max("stroke"), F.lit(0)).alias("top"))
+    fresh = change.crossJoin(F.broadcast(top)).select((F.col("top") + 1).cast("long").alias("stroke"), id, "added")
+    both = history.select(F.col("stroke").cast("long").alias("stroke"), id, "added").unionByName(fresh)
+    last = both.agg(F.max("stroke").alias("last"))
+    return both.crossJoin(F.broadcast(last)).where(F.col("stroke") > F.col("last") - keep).drop("last")

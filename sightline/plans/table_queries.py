@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline.operators import validate as V
+from sightline.operators.order import placed
 from sightline.plans.coverage_queries import t
 
 RULES = {"positive": "l_quantity > 30", "discount_range": "l_discount between 0.0D and 0.09D", "finite": "not isnan(l_extendedprice)", "shipped": "l_shipdate is not null"}
@@ -27,6 +28,12 @@ def frames(s, d):
     return t(s, d, "orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") < 300) | (F.col("o_orderstatus") == "F")).alias("done"))
 
 
+def numbered(s, d):
+    p = placed(t(s, d, "part").select("p_partkey", (F.col("p_size") > 40).alias("patch"), (F.col("p_size") <= 40).cast("long").alias("own")), ["p_partkey"], total="own")
+    pad = lambda c: F.lpad(c.cast("string"), 4, "0")
+    return p.select("p_partkey", F.when(F.col("patch"), F.concat(F.lit("patch_"), pad(F.col("p_partkey")))).otherwise(F.concat(F.lit("image_"), pad(F.col("before") + F.col("own")))).alias("stem"))
+
+
 QUERIES = {
     "i1_snapshot": lambda s, d: t(s, d, "nation").select("n_nationkey", "n_name"),
     "i2_append_with_ids": lambda s, d: V.append_with_ids(t(s, d, "nation").select("n_nationkey", "n_name"), t(s, d, "region").select(F.lit(0).alias("n_nationkey"), F.col("r_name").alias("n_name")), "n_nationkey", ["n_name"]),
@@ -49,7 +56,7 @@ QUERIES = {
     "a2_distinct_instances": lambda s, d: t(s, d, "part").where("p_size > 10").groupBy("p_brand", F.round("p_retailprice", -1).alias("price")).agg(F.min("p_partkey").alias("first")),
     "a4_bounds": lambda s, d: t(s, d, "part").agg(F.coalesce(F.min("p_size"), F.lit(0)).alias("lo"), F.coalesce(F.max("p_size"), F.lit(1)).alias("hi"), F.min("p_retailprice").alias("price_lo"), F.max("p_retailprice").alias("price_hi")),
     "a13_object_groups": lambda s, d: t(s, d, "nation").join(t(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("members"), F.min("n_nationkey").alias("first")),
-    "a17_conditional_numbers": lambda s, d: t(s, d, "part").select("p_partkey", F.when(F.col("p_size") > 40, F.concat(F.lit("patch_"), F.lpad(F.col("p_partkey").cast("string"), 4, "0"))).otherwise(F.concat(F.lit("image_"), F.lpad(F.sum(F.when(F.col("p_size") > 40, 0).otherwise(1)).over(Window.orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, 0)).cast("string"), 4, "0"))).alias("stem")),
+    "a17_conditional_numbers": numbered,
     "a20_conflicts": lambda s, d: t(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("l_partkey").alias("versions")).where("versions > 1"),
     "a23_json_defaults": lambda s, d: t(s, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)).alias("k"), F.coalesce(F.get_json_object("props", "$.none"), F.lit("default")).alias("missing")),
     "a24_union_parts": lambda s, d: t(s, d, "supplier").select(F.lit(0).alias("part"), F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance")).unionByName(t(s, d, "customer").select(F.lit(1).alias("part"), F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"))),

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.operators.order import placed
+
 
 def with_profile(cameras: DataFrame, columns: list[str], order: str) -> DataFrame:
     """cameras with camera_id: one for each distinct set of the columns, numbered in first-seen order."""
-    first = cameras.groupBy(*columns).agg(F.min(order).alias("__first")).withColumn("camera_id", F.row_number().over(Window.orderBy("__first")))
-    return cameras.join(F.broadcast(first.drop("__first")), columns)
+    first = placed(cameras.groupBy(*columns).agg(F.min(order).alias("__first")), ["__first", *columns])
+    return cameras.join(first.select(*columns, F.col("place").cast("int").alias("camera_id")), columns)
 
 
 def _number(c: str):

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+import os
+import subprocess
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
@@ -70,3 +73,56 @@ def supervise(job: Callable[[int, int], Any], total: int, size: int, *, retries:
                     mid = (a + b) // 2
                     todo[:0] = [(a, mid), (mid, b)]
     return done
+
+
+def _resident(pid: int) -> int:
+    """Bytes of memory a process holds now; 0 where that can't be read."""
+    try:
+        with open(f"/proc/{pid}/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    except (OSError, ValueError, IndexError):
+        return 0
+
+
+def run_batch(command: Sequence[str], *, log: str, result: str, start: int, attempt: int, patterns: Mapping[str, str], pause: float = 1.0) -> dict[str, Any]:
+    """Run one batch as a process of this machine with its log in a file, and judge it.
+
+    It succeeded if it ended with 0, wrote a verified result of state chunk_done or
+    done, and its log shows none of the patterns. Peak memory is sampled every pause.
+    A result left by an earlier attempt is removed first.
+    """
+    import re
+
+    from sightline.sources.manifest import read_json
+
+    if os.path.exists(result):
+        os.remove(result)
+    began, peak = time.time(), 0
+    with open(log, "w", encoding="utf-8") as f:
+        process = subprocess.Popen(list(command), stdout=f, stderr=subprocess.STDOUT)
+        while True:
+            peak = max(peak, _resident(process.pid))
+            try:
+                code = process.wait(timeout=pause)
+                break
+            except subprocess.TimeoutExpired:
+                continue
+    faults: set[str] = set()
+    with open(log, encoding="utf-8", errors="replace") as f:
+        for line in f:
+            faults |= {name for name, p in patterns.items() if re.search(p, line, re.IGNORECASE)}
+    got = read_json(result) or {}
+    verified = bool(got.get("verified"))
+    numbers = {n: int(got.get(n) or 0) for n in ("start", "end", "total", "rendered", "next_start")}
+    judged = {"attempt": attempt, "requested_start": start, "return_code": code, "faults": sorted(faults), "peak_bytes": peak, "seconds": round(time.time() - began, 2), "log": log, "verified": verified, "complete": bool(got.get("complete"))}
+    return numbers | judged | {"success": code == 0 and verified and got.get("state") in ("chunk_done", "done") and not faults}
+
+
+def stop_recording(query: Any, spark: SparkSession, path: str) -> DataFrame:
+    """Take in what a recording query hasn't processed yet, end it, and give its points as a base path: key, seq, x, y, z with the coordinates smoothed once, ends kept."""
+    from sightline.operators.paths import smooth_window
+
+    if query.isActive:
+        query.processAllAvailable()
+        query.stop()
+    return smooth_window(spark.read.schema(OUT).parquet(path), key="key", order=["seq"], columns=["x", "y", "z"])
