@@ -117,7 +117,7 @@ def pocket_routes(cells: DataFrame, edges: DataFrame, missing: DataFrame, *, rad
     for k in range(passes):
         if left.isEmpty():
             break
-        own = G.restrict(edges, left)
+        own = cut(G.restrict(edges, left))
         part = cut(G.components_of(left.select("id"), own).where(F.col("size") >= least).select("node", "root"))
         far = lambda seeds: G.shortest(own, seeds)
         end = lambda d: d.join(part, "node").groupBy("root").agg(F.max(F.struct("distance", "node")).alias("m")).select(F.col("root").alias("group"), F.col("m.node").alias("node"))
