@@ -119,17 +119,29 @@ def farthest_points_large(points: DataFrame, *, id: str, axes: Sequence[str], co
     return spark.createDataFrame(out, f"pick int, {id} {dict(points.dtypes)[id]}")
 
 
-def diverse_sequence(rows: DataFrame, *, group: str, order: Sequence[str], axes: Sequence[str], distance: float, most: int) -> DataFrame:
-    """Rows in order that are at least a distance from all kept before, at most so many in each group."""
+def diverse_sequence(rows: DataFrame, *, group: str, order: Sequence[str], axes: Sequence[str], distance: float, most: int, forward: Sequence[str] = (), degrees: float = 2.0) -> DataFrame:
+    """Rows in order that are at least a distance from all kept before, at most so many in each group.
+
+    With forward columns a row is left out only if one kept before stands at most the
+    distance away and looks at most so many degrees elsewhere.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order), kind="stable").reset_index(drop=True)
         p = pdf[list(axes)].to_numpy(float)
+        f = pdf[list(forward)].to_numpy(float) if forward else None
+        if f is not None:
+            f = f / np.maximum(np.linalg.norm(f, axis=1, keepdims=True), 1e-12)
         kept: list[int] = []
         for i in range(len(p)):
             if len(kept) == most:
                 break
-            if not kept or np.sqrt(((p[kept] - p[i]) ** 2).sum(1)).min() >= distance:
+            apart = np.sqrt(((p[kept] - p[i]) ** 2).sum(1)) if kept else np.full(1, np.inf)
+            if f is None:
+                same = apart < distance
+            else:
+                same = (apart <= distance) & ((f[kept] @ f[i] if kept else np.zeros(1)) >= np.cos(np.radians(degrees)))
+            if not same.any():
                 kept.append(i)
         return pdf.iloc[kept]
 

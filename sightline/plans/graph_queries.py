@@ -112,6 +112,7 @@ QUERIES = {
     "h8_swap_repair": repaired,
     "h26_farthest_points": lambda s, d: H.farthest_points(cells(s, d).withColumn("zone", F.floor(F.col("iy") / 10)), group="zone", id="id", axes=["x", "y"], count=6, spacing=1.5),
     "h26_farthest_points_large": lambda s, d: H.farthest_points_large(cells(s, d), id="id", axes=["x", "y"], count=10),
+    "d24_diverse_views": lambda s, d: H.diverse_sequence(cells(s, d).select(F.floor(F.col("iy") / 10).alias("zone"), "id", "x", "y", F.cos(F.col("id") % 5 / 2.0).alias("fx"), F.sin(F.col("id") % 5 / 2.0).alias("fy")), group="zone", order=["id"], axes=["x", "y"], distance=3.0, most=200, forward=["fx", "fy"], degrees=40.0),
     "d24_diverse_sequence": lambda s, d: H.diverse_sequence(cells(s, d).select(F.floor(F.col("iy") / 10).alias("zone"), "id", "x", "y"), group="zone", order=["id"], axes=["x", "y"], distance=3.0, most=20),
     "h39_ring_origins": lambda s, d: H.ring_origins(t(s, d, "nation").select(F.col("n_nationkey").alias("region"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(0.5).alias("z")), radii=[0.75, 1.5], angles=12, heights=[0.0, 0.4]).withColumns({c: F.round(c, 9) for c in "xyz"}),
     "h41_cube_faces": lambda s, d: H.cube_faces(t(s, d, "nation").select("n_nationkey")),

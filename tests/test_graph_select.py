@@ -111,3 +111,17 @@ def test_spread_out_points(spark):
         if all((p[2] - k[2]) ** 2 + (p[3] - k[3]) ** 2 >= 0.09 for k in kept):
             kept.append(p)
     assert sorted(r.id for r in H.diverse_sequence(df, group="g", order=["id"], axes=["x", "y"], distance=0.3, most=99).collect()) == [k[1] for k in kept]
+
+
+def test_diverse_views(spark):
+    """Near rows that look elsewhere stay; near ones that look the same way go."""
+    import math
+
+    rows = [(0, i, (i * 7 % 10) / 10, 0.0, math.cos(i % 4), math.sin(i % 4)) for i in range(40)]
+    df = spark.createDataFrame(rows, "g int, id int, x double, y double, fx double, fy double")
+    kept = []
+    for r in rows:
+        if not any(abs(k[2] - r[2]) <= 0.25 and k[4] * r[4] + k[5] * r[5] >= math.cos(math.radians(30)) for k in kept):
+            kept.append(r)
+    got = H.diverse_sequence(df, group="g", order=["id"], axes=["x", "y"], distance=0.25, most=99, forward=["fx", "fy"], degrees=30.0)
+    assert sorted(r.id for r in got.collect()) == [k[1] for k in kept] and 4 < len(kept) < 40
