@@ -13,6 +13,9 @@ segment's bits, with these cleared, and once for every bit of its own segment an
 two of the other. Those that agree in such a key differ in at most three bits, and
 any two that do agree in one; each is linked to the key's least, which leaves the
 same components with rows in proportion to the crowd.
+
+Joins whose sides both grow with the corpus are hinted to merge: Spark would judge
+them by their compressed size and build a broadcast that the driver can't hold.
 """
 
 from __future__ import annotations
@@ -105,7 +108,7 @@ def _pairs(asking: DataFrame, asked: DataFrame) -> DataFrame:
     asked_for = asking.select("segment", "value", F.col("fingerprint").alias("u"), F.explode(F.filter(ball, lambda b: b.bitwiseAND(F.col("value")) == 0)).alias("bit")).select("segment", F.col("value").bitwiseOR(F.col("bit")).alias("value"), "u", (F.col("bit") == 0).alias("same"))
     a, b = asked_for.alias("a"), held.alias("b")
     near = (F.bit_count(F.col("a.u").bitwiseXOR(F.col("b.v"))) <= DISTANCE) & (F.col("a.u") != F.col("b.v")) & (~F.col("a.same") | (F.col("a.u") < F.col("b.v")))
-    return a.join(b, (F.col("a.segment") == F.col("b.segment")) & (F.col("a.value") == F.col("b.value")) & near).select("a.u", "b.v")
+    return a.join(b.hint("merge"), (F.col("a.segment") == F.col("b.segment")) & (F.col("a.value") == F.col("b.value")) & near).select("a.u", "b.v")
 
 
 def _crowd_links(crowded: DataFrame) -> DataFrame:
@@ -122,16 +125,16 @@ def _crowd_links(crowded: DataFrame) -> DataFrame:
     edge = inner.select("fingerprint", "own", "far", "m1", F.explode(other(two)).alias("m2")).select("fingerprint", shift(F.col("m1"), F.col("own")).bitwiseOR(shift(F.col("m2"), F.col("far"))).alias("mask"))
     keyed = whole.unionByName(edge).withColumn("key", F.col("fingerprint").bitwiseAND(F.bitwise_not("mask")))
     least = keyed.groupBy("mask", "key").agg(F.min("fingerprint").alias("v"), F.max("fingerprint").alias("top")).where("v != top").select("mask", "key", "v")
-    return keyed.join(least, ["mask", "key"]).where("fingerprint != v").select(F.col("fingerprint").alias("u"), "v").distinct()
+    return keyed.join(least.hint("merge"), ["mask", "key"]).where("fingerprint != v").select(F.col("fingerprint").alias("u"), "v").distinct()
 
 
 def _classes(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     """fingerprint, root, component_id: of every distinct fingerprint in rows (id, fingerprint)."""
     prints = rows.groupBy("fingerprint").agg(F.min("id").alias("least"))
     roots = components(links(prints.select("fingerprint"), crowd))
-    of = prints.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    of = prints.join(roots.withColumnRenamed("node", "fingerprint").hint("merge"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return of.select("fingerprint", "root").join(least, "root")
+    return of.select("fingerprint", "root").join(least.hint("merge"), "root")
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str]) -> DataFrame:
@@ -150,7 +153,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     in_<name>.
     """
     rows = _prints(docs, id_col, text_col, keep)
-    out = rows.join(_classes(rows, crowd).select("fingerprint", "component_id"), "fingerprint")
+    out = rows.join(_classes(rows, crowd).select("fingerprint", "component_id").hint("merge"), "fingerprint")
     return out.select(*[F.col(f"k{i}") for i in range(len(keep))], "text_hash", "fingerprint", "component_id").toDF(*docs.select(*kept(docs, keep, MADE)).columns, "text_hash", "fingerprint", "component_id")
 
 
@@ -162,11 +165,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     survivors' join.
     """
     rows = _prints(docs, id_col, text_col, ())
-    who = rows.join(_classes(rows).select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("s"))
+    who = rows.join(_classes(rows).select("fingerprint", "root").hint("merge"), "fingerprint").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("s"))
     stay = who.select(F.col("s.id").alias("stay_id"), F.col("s.text_hash").alias("stay_hash"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text_hash"))
-    joined = own.join(stay, (own["text_hash"] == stay["stay_hash"]) & own["id"].eqNullSafe(stay["stay_id"]))
+    joined = own.join(stay.hint("merge"), (own["text_hash"] == stay["stay_hash"]) & own["id"].eqNullSafe(stay["stay_id"]))
     return joined.dropDuplicates(["id", "text_hash"]).select(*names).toDF(*docs.columns)
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 
 from sightline.llm import graph, simhash
+from sightline.operators import graph as graph_ops
 
 
 def brute(t):
@@ -108,3 +109,19 @@ def test_clashing_names(spark):
     assert len(got) == 4 and all(r.root == "root" and r.in_fingerprint == "fingerprint" and r.id == "id" for r in got)
     one = simhash.keep_one(df)
     assert one.columns == df.columns and sorted((str(r.doc_id), r["__key"]) for r in one.collect()) == [("1", "__key"), ("None", "__key")]
+
+
+def test_growing_joins_are_merged(spark, monkeypatch, tmp_path):
+    """However small Spark believes them, no side that grows with the corpus is broadcast: the driver couldn't hold it."""
+    plans = []
+
+    def noted(df, cut=graph_ops.cut):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graph_ops, "cut", noted)
+    spark.createDataFrame([(i, f"some words of text number {i // 2} and more of them") for i in range(40)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))  # with a size that Spark knows
+    for out in (simhash.near_duplicates(docs), simhash.links(simhash.with_fingerprint(docs).select("fingerprint").distinct())):
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
