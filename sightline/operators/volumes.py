@@ -131,12 +131,12 @@ def segments_clear(segments: DataFrame, triangles: DataFrame, *, cell: float, re
     s = segments.withColumn("far", far).withColumn("u", along).withColumn("v", V.normalize(V.cross(F.col("u"), helper))).withColumn("w", V.cross(F.col("u"), F.col("v")))
     ring = [V.vec(0, 0, 0)] + [V.add(V.mul(F.col("v"), radius * math.cos(2 * math.pi * k / sides)), V.mul(F.col("w"), radius * math.sin(2 * math.pi * k / sides))) for k in range(sides)]
     rays = s.select("id", "a", "u", "far", F.posexplode(F.array(*ring)).alias("k", "off")).select(F.struct("id", "k").alias("ray"), V.add(F.col("a"), F.col("off")).alias("o"), F.col("u").alias("d"), "far")
-    met = nearest_hit(rays.select("ray", "o", "d"), triangles, cell=cell, reach=reach).join(rays.select("ray", "far"), "ray").where("t < far").select("ray.id")
+    met = nearest_hit(rays.select("ray", "o", "d"), triangles, cell=cell, reach=reach).join(s.select("id", "far").hint("merge"), F.col("ray.id") == F.col("id")).where("t < far").select("id")
     n = F.ceil(F.col("far") / step).cast("int")
     samples = s.select("id", "a", "b", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: i / F.greatest(n, F.lit(2)))).alias("k", "f"))
     near = near_triangles(samples.select(F.struct("id", "k").alias("id"), V.lerp(F.col("a"), F.col("b"), F.col("f")).alias("p")), triangles, cell=cell, radius=radius).where(F.col("distance") < radius - 1e-9).select("id.id")
     bad = met.unionByName(near).distinct().withColumn("bad", F.lit(True))
-    return segments.select("id").join(bad, "id", "left").select("id", F.col("bad").isNull().alias("clear"))
+    return segments.select("id").join(bad.hint("merge"), "id", "left").select("id", F.col("bad").isNull().alias("clear"))
 
 
 # the scan of floors and free space
