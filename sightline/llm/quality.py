@@ -170,7 +170,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, allowed: Column, *, id
                 off = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(off), pa.array(x.ravel()))], names=["id", "f"])
 
-    found = source.mapInArrow(run, schema).join(base, "id").groupBy("id", "y").agg(F.min("f").alias("f"))
+    found = source.mapInArrow(run, schema).join(base.hint("merge"), "id").groupBy("id", "y").agg(F.min("f").alias("f"))
     return found.select("id", "y", F.xxhash64("id").alias("o"), "f")
 
 

@@ -267,12 +267,12 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mixed = contexts.groupBy("g").agg(F.count(F.lit(1)).alias("n_ctx"), F.min("n_c").alias("fewest")).where("n_ctx > 1 and fewest = 1").select("g")
     # a third pass: the windows of the contexts of anchors that have several
     several = _contexts(docs, text_col, bits, set_sketch(mixed, bits), window, gram)
-    distinct = several.groupBy("g", "c").agg(F.any_value("hs").alias("hs")).join(contexts, ["g", "c"])
+    distinct = several.groupBy("g", "c").agg(F.any_value("hs").alias("hs")).join(contexts.hint("merge"), ["g", "c"])
     each = distinct.select("g", "c", "n_c", F.posexplode("hs").alias("j", "h"))
     often = each.groupBy("g", "h").agg(F.sum("n_c").alias("n")).where("n > 1").select("g", "h")
-    masks = each.where("n_c = 1").join(often, ["g", "h"]).groupBy("g", "c").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
+    masks = each.where("n_c = 1").join(often.hint("merge"), ["g", "h"]).groupBy("g", "c").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
     whole = contexts.where("n_c > 1").select("g", "c", F.lit(-1).cast("long").alias("mask"))
-    decided = runs.join(whole.unionByName(masks), ["g", "c"])
+    decided = runs.join(whole.unionByName(masks).hint("merge"), ["g", "c"])
     return decided.groupBy("id", "th").agg(F.collect_set(F.struct("first", (F.col("n") * F.col("times")).alias("n"), "mask")).alias("marks"))
 
 
@@ -292,7 +292,7 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = [] if text_col in keep else ["text"]
     id_key = docs.select(F.col(f"`{id_col}`").alias("own_id"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, carried, strict=True)], *[F.col(f"`{text_col}`").alias(n) for n in texts])
     own = id_key.withColumn("own_th", F.xxhash64(F.coalesce(F.col((carried + texts)[at_text]), F.lit(""))))
-    both = own.join(marks, own["own_id"].eqNullSafe(marks["id"]) & (own["own_th"] == marks["th"]), "left")
+    both = own.join(marks.hint("merge"), own["own_id"].eqNullSafe(marks["id"]) & (own["own_th"] == marks["th"]), "left")
     at_marks = len(carried) + len(texts)
     source = both.select(*carried, *texts, *[F.col(f"marks.{f}").alias(f"m_{f}") for f in ("first", "mask", "n")])
     schema = T.StructType([T.StructField(n, sent.schema[o].dataType) for n, o in zip(carried, outer, strict=True)] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
