@@ -18,3 +18,12 @@ def test_either_side_may_be_spread(spark):
     b = a.where("id % 5 = 0")
     want = sorted(map(tuple, S.radius_join(a, b, 0.5, ("x", "y")).collect()))
     assert want and want == sorted(map(tuple, S.radius_join(a, b, 0.5, ("x", "y"), spread="right").collect()))
+
+
+def test_spaced_top_broadcasts_nothing(spark, sf, monkeypatch):
+    from sightline.operators import candidates as K
+
+    plans = []
+    monkeypatch.setattr(K, "cut", lambda d, cut=K.cut: plans.append(d._jdf.queryExecution().executedPlan().toString()) or cut(d))
+    plans.append(registry.queries()["h18_spaced_top"](spark, sf)._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
